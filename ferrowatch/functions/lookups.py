@@ -1,0 +1,29 @@
+"""Joins of a frame with a lookup table of one row per key, whatever the share of one key."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A lookup up to this many rows is broadcast.
+BROADCAST_ROWS = 10_000
+# Beyond it, each key is split over this many join partitions.
+SALTS = 256
+
+
+def left_join_lookup(
+    df: DataFrame, lookup: DataFrame, key: str, max_rows: int = BROADCAST_ROWS, salts: int = SALTS
+) -> DataFrame:
+    """Left join with a lookup of one row per key; NULL keys match nothing.
+
+    The lookup's size is measured, not assumed: its first max_rows + 1 rows are fetched, and
+    if that is all of it, they are broadcast and the frame is not shuffled. A larger lookup is
+    repeated once per salt and joined by shuffle, so that one key of the frame, or its NULL
+    keys, fill many partitions instead of one. Both ways give the same rows.
+    """
+    head = lookup.limit(max_rows + 1).collect()
+    if len(head) <= max_rows:
+        bounded = df.sparkSession.createDataFrame(head, lookup.schema)
+        return df.join(F.broadcast(bounded), key, "left")
+    # The partition id spreads identical rows too, and is the same when a lost task is repeated.
+    salt = F.pmod(F.xxhash64(*df.columns, F.spark_partition_id()), F.lit(salts)).cast("int")
+    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("_salt", salt).join(repeated, [key, "_salt"], "left").drop("_salt")
