@@ -94,14 +94,14 @@ class DomainTables:
     def __init__(self, spark: SparkSession, directory: str):
         # Literals and the files' zone-less times must mean the same instants.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self._spark = spark
+        self.spark = spark
         self._directory = directory
 
     def _load(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._directory}/{name}.parquet")
+        return self.spark.read.parquet(f"{self._directory}/{name}.parquet")
 
     def _project(self, sql: str, source: str, schema) -> DataFrame:
-        df = self._spark.sql(sql, **{source: self._load(source)})
+        df = self.spark.sql(sql, **{source: self._load(source)})
         return df.select(
             [F.col(old).cast(field.dataType).alias(field.name) for old, field in zip(df.columns, schema.fields)]
         )
