@@ -223,9 +223,6 @@ def _grading() -> dict[str, Callable[[DomainTables], DataFrame]]:
     def alerted(t):
         return alerts.add_alerts(chain.engineered(t))
 
-    def scored(t):
-        return stage(chain.scored(t), "scored")
-
     def inspection(item):
         return lambda t: items.item_inspection(chain.itemised(t), item)
 
@@ -240,9 +237,9 @@ def _grading() -> dict[str, Callable[[DomainTables], DataFrame]]:
         "scores": lambda t: chain.scored(t).select(*KEY, "alert", *score_columns),
         "score_distribution": lambda t: recommend.score_distribution(chain.scored(t)),
         "maintenance_percentages": lambda t: recommend.maintenance_percentages(chain.scored(t)),
-        "stat_thresholds": lambda t: items.stat_thresholds(scored(t)),
-        "history_thresholds": lambda t: items.history_thresholds(scored(t)),
-        "item_thresholds": lambda t: items.item_thresholds(scored(t)),
+        "stat_thresholds": lambda t: items.stat_thresholds(chain.scored(t)),
+        "history_thresholds": lambda t: items.history_thresholds(chain.scored(t)),
+        "item_thresholds": lambda t: items.item_thresholds(chain.scored(t)),
         "items": lambda t: chain.itemised(t).select(
             *KEY, "parts_replaced", "total_score", "maintenance_needed", "maintenance_item"
         ),

@@ -50,5 +50,11 @@ def scored(tables) -> DataFrame:
 
 
 def itemised(tables) -> DataFrame:
-    """Scored readings, written, with the part to service."""
-    return items.assign_items(stage(scored(tables), "scored"))
+    """Scored readings with the part to service.
+
+    The thresholds use readings only, so they are taken from the written table and grading,
+    scores and items are one projection over it.
+    """
+    readings = featured(tables)
+    graded = recommend.score_maintenance(alerts.add_alerts(readings))
+    return items.assign_items(graded, thresholds_from=readings)
