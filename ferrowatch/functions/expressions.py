@@ -76,3 +76,25 @@ def value_counts(df: DataFrame, columns: list[str], label: str = "column") -> Da
         .groupBy(label, "value")
         .agg(F.count("*").alias("count"))
     )
+
+
+# How text that reads as a double begins. Casting any other text would cost an exception per value.
+NUMBER_START = r"(?i)^[\s\p{Cntrl}]*[+-]?(\.?[0-9]|inf|nan)"
+
+
+def as_number(df: DataFrame, name: str) -> Column:
+    """The column as a double; NULL for text that is no number."""
+    number = F.col(name).try_cast("double")
+    if isinstance(df.schema[name].dataType, T.StringType):
+        number = F.when(F.col(name).rlike(NUMBER_START), number)
+    return number
+
+
+def long_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value double): one row per row and column.
+
+    Grouped by column this keeps the aggregate narrow enough for generated code; side by side,
+    means and deviations of a few dozen columns exceed what Spark compiles.
+    """
+    numbers = df.select([as_number(df, name).alias(name) for name in columns])
+    return numbers.unpivot([], columns, "column", "value")

@@ -76,16 +76,18 @@ def integrate_data(
     once. The other tables are first joined to the distinct machine-days of the readings, a
     two-column frame that combines before its shuffle, and the readings then join that context
     on (machine, day). A machine with a large share of all readings is spread over its days,
-    and is at most one row per day where specifications and logs join on the machine alone.
+    and where specifications and logs join on the machine alone it counts by days, not readings.
+    Both sides of the last join come fresh from a shuffle, so AQE can split a single hot day.
     """
     sensor = normalise_sensor(sensor)
     day = F.to_date("timestamp")
     machine_days = (
         sensor.filter(F.col("equipment_id").isNotNull()).select("equipment_id", day.alias("day")).distinct()
     )
-    context = with_specs(machine_days, equipment)
+    # The distinct days are already spread by machine and day, as the first of these joins needs.
+    context = with_operational_day(machine_days, normalise_operational(operational), on="day")
+    context = with_specs(context, equipment)
     context = with_latest_maintenance(context, normalise_maintenance(logs))
-    context = with_operational_day(context, normalise_operational(operational), on="day")
     context = context.withColumnsRenamed({"equipment_id": "context_machine", "day": "context_day"})
     # Readings without a time still get specifications and maintenance, hence the null-safe day.
     same_machine_day = (F.col("equipment_id") == F.col("context_machine")) & F.to_date(
@@ -98,5 +100,10 @@ def integrate_data(
 
 
 def order_for_output(df: DataFrame) -> DataFrame:
-    """Order by machine and time; the time in the key lets the sort split a busy machine."""
-    return df.orderBy("equipment_id", "timestamp")
+    """Order by machine and time.
+
+    The time lets the range shuffle split a busy machine, and the row's position in its
+    partition lets it split copies of one reading.
+    """
+    position = df.withColumn("_position", F.monotonically_increasing_id())
+    return position.orderBy("equipment_id", "timestamp", "_position").drop("_position")

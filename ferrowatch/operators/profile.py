@@ -4,13 +4,14 @@ import math
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrowatch.functions.expressions import (
     any_of,
     is_nan,
+    long_numbers,
     numeric_columns,
     rows_per_item,
     string_columns,
@@ -45,23 +46,50 @@ def summary_stats(df: DataFrame) -> DataFrame:
     """(column, count, mean, stddev, min_number, max_number, min_text, max_text).
 
     One row per numeric or text column. Text columns have a mean and deviation of those
-    values that read as numbers, as describe() has.
+    values that read as numbers, as describe() has. Text is grouped by value before its
+    extremes are taken.
     """
-    items = {}
-    for name in numeric_columns(df) + string_columns(df):
-        is_text = isinstance(df.schema[name].dataType, T.StringType)
-        number = F.col(name).try_cast("double")
-        no_number, no_text = F.max(F.lit(None).cast("double")), F.max(F.lit(None).cast("string"))
-        items[name] = {
-            "count": F.count(name),
-            "mean": F.avg(number),
-            "stddev": F.stddev_samp(number),
-            "min_number": no_number if is_text else F.min(number),
-            "max_number": no_number if is_text else F.max(number),
-            "min_text": F.min(name) if is_text else no_text,
-            "max_text": F.max(name) if is_text else no_text,
-        }
-    return rows_per_item(df, "column", items)
+    texts = string_columns(df)
+    columns = numeric_columns(df) + texts
+    is_text = F.col("column").isin(texts)
+    numbers = (
+        long_numbers(df, columns)
+        .groupBy("column")
+        .agg(
+            F.count("value").alias("numbers"),
+            F.avg("value").alias("mean"),
+            F.stddev_samp("value").alias("stddev"),
+            F.min("value").alias("min_number"),
+            F.max("value").alias("max_number"),
+        )
+    )
+    names = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column"))
+    stats = names.join(numbers, "column", "left")
+    if texts:
+        extremes = (
+            value_counts(df, texts)
+            .filter(F.col("value").isNotNull())
+            .groupBy("column")
+            .agg(
+                F.sum("count").alias("texts"),
+                F.min("value").alias("min_text"),
+                F.max("value").alias("max_text"),
+            )
+        )
+        stats = stats.join(extremes, "column", "left")
+    else:
+        nothing = F.lit(None)
+        stats = stats.withColumns({"texts": nothing.cast("long"), "min_text": nothing.cast("string"), "max_text": nothing.cast("string")})
+    return stats.select(
+        "column",
+        F.coalesce(F.when(is_text, F.col("texts")).otherwise(F.col("numbers")), F.lit(0)).alias("count"),
+        "mean",
+        "stddev",
+        F.when(~is_text, F.col("min_number")).alias("min_number"),
+        F.when(~is_text, F.col("max_number")).alias("max_number"),
+        "min_text",
+        "max_text",
+    )
 
 
 def categorical_cardinality(df: DataFrame) -> DataFrame:
@@ -73,17 +101,21 @@ def categorical_cardinality(df: DataFrame) -> DataFrame:
     return value_counts(df, string_columns(df)).groupBy("column").agg(F.count("*").alias("unique_values"))
 
 
+def _missing(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType
+    missing = [F.col(name).isNull()]
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        missing += [F.isnan(name), F.col(name).isin([math.inf, -math.inf])]
+    elif isinstance(kind, T.StringType):
+        missing.append(F.col(name) == "")
+    return any_of(missing)
+
+
 def missing_counts(df: DataFrame) -> DataFrame:
     """(column, missing): NULL, NaN and infinities in numeric columns, NULL and "" in the others."""
-    items = {}
-    for field in df.schema.fields:
-        missing = [F.col(field.name).isNull()]
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            missing += [is_nan(df, field.name), F.col(field.name).isin([math.inf, -math.inf])]
-        elif isinstance(field.dataType, T.StringType):
-            missing.append(F.col(field.name) == "")
-        items[field.name] = {"missing": F.count_if(any_of(missing))}
-    return rows_per_item(df, "column", items)
+    return rows_per_item(
+        df, "column", {name: {"missing": F.count_if(_missing(df, name))} for name in df.columns}
+    )
 
 
 def drop_missing(df: DataFrame) -> DataFrame:
@@ -92,10 +124,20 @@ def drop_missing(df: DataFrame) -> DataFrame:
 
 
 def missing_report(df: DataFrame) -> DataFrame:
-    """(phase, column, missing) before and after the drop."""
-    before = missing_counts(df).select(F.lit("before").alias("phase"), "*")
-    after = missing_counts(drop_missing(df)).select(F.lit("after").alias("phase"), "*")
-    return before.unionByName(after)
+    """(phase, column, missing) before and after the drop, both from one pass."""
+    dropped = any_of([F.col(name).isNull() | is_nan(df, name) for name in df.columns])
+    counts = rows_per_item(
+        df.withColumn("_kept", ~dropped),
+        "column",
+        {
+            name: {
+                "before": F.count_if(_missing(df, name)),
+                "after": F.count_if(_missing(df, name) & F.col("_kept")),
+            }
+            for name in df.columns
+        },
+    )
+    return counts.unpivot("column", ["before", "after"], "phase", "missing").select("phase", "column", "missing")
 
 
 def numeric_ranges(df: DataFrame) -> DataFrame:
@@ -127,23 +169,20 @@ def categorical_frequencies(df: DataFrame, top: int = 10) -> DataFrame:
 def outlier_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, outliers): values strictly outside mean ± 3 sample deviations."""
     columns = columns or numeric_columns(df)
-    bounds = []
-    for name in columns:
-        mean, deviation = F.avg(name), F.stddev_samp(name)
-        bounds += [(mean - 3 * deviation).alias(f"{name}_low"), (mean + 3 * deviation).alias(f"{name}_high")]
-    limits = df.agg(F.struct(*bounds).alias("bounds")).scalar()
-    bounded = df.select(*columns, limits.alias("bounds"))
+    mean, spread = F.avg("value"), 3 * F.stddev_samp("value")
+    bounds = F.struct((mean - spread).alias("low"), (mean + spread).alias("high"))
+    per_column = long_numbers(df, columns).groupBy("column").agg(bounds.alias("bounds"))
+    # One entry per column, so the lookup is as small as the schema.
+    lookup = per_column.agg(F.map_from_entries(F.collect_list(F.struct("column", "bounds")))).scalar()
+
+    def outside(name):
+        limits = F.col("bounds").getItem(name)
+        return (F.col(name) < limits["low"]) | (F.col(name) > limits["high"])
+
     return rows_per_item(
-        bounded,
+        df.select(*columns, lookup.alias("bounds")),
         "column",
-        {
-            name: {
-                "outliers": F.count_if(
-                    (F.col(name) < F.col(f"bounds.{name}_low")) | (F.col(name) > F.col(f"bounds.{name}_high"))
-                )
-            }
-            for name in columns
-        },
+        {name: {"outliers": F.count_if(outside(name))} for name in columns},
     )
 
 

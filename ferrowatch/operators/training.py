@@ -116,7 +116,7 @@ def predict(model: BoostedClassifier, df: DataFrame) -> DataFrame:
         member.setRawPredictionCol("").setPredictionCol("").setProbabilityCol(f"_member_{i}")
         scored = member.transform(scored)
     chances = [vector_to_array(F.col(f"_member_{i}"))[1] for i in range(len(model.members))]
-    if len(model.members) == 1:
+    if len(model.labels) == 2:
         probabilities = [1 - chances[0], chances[0]]
     else:
         total = sum(chances[1:], chances[0])

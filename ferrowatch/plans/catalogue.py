@@ -189,15 +189,17 @@ def _preparation() -> dict[str, Callable[[DomainTables], DataFrame]]:
         "operational_day_join": lambda t: integrate.with_operational_day(
             t.sensor, integrate.normalise_operational(t.operational)
         ),
-        "integrated": lambda t: integrate.order_for_output(chain.integrated(t)),
+        "integrated": chain.integrated,
+        # Sorting samples its input first; the written table spares that pass the joins.
+        "integrated_ordered": lambda t: integrate.order_for_output(stage(chain.integrated(t), "integrated")),
         "valid_readings": lambda t: valid(t).select(*KEY, "installation_date"),
         "validity_counts": lambda t: profile.validity_counts(chain.integrated(t)),
         "overview": lambda t: profile.dataset_overview(valid(t)),
         "dataset_sample": lambda t: profile.dataset_sample(valid(t)),
-        "summary_stats": lambda t: profile.summary_stats(valid(t)),
+        "summary_stats": lambda t: profile.summary_stats(stage(valid(t), "valid")),
         "cardinality": lambda t: profile.categorical_cardinality(valid(t)),
         "missing_counts": lambda t: profile.missing_counts(valid(t)),
-        "missing_report": lambda t: profile.missing_report(stage(valid(t), "valid")),
+        "missing_report": lambda t: profile.missing_report(valid(t)),
         "dropped_missing": chain.cleaned,
         "cleaned_duplicates": lambda t: general_quality.duplicate_counts(chain.cleaned(t)),
         "numeric_ranges": lambda t: profile.numeric_ranges(chain.cleaned(t)),

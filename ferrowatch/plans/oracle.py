@@ -576,6 +576,7 @@ def _preparation_queries() -> dict[str, str]:
             FROM sensor s LEFT JOIN operational o ON s.equipment_id = o.equipment_id
                 AND CAST("timestamp" AS DATE) = CAST(o."date" AS DATE)""",
         "integrated": select(INTEGRATED, "integrated"),
+        "integrated_ordered": select(INTEGRATED, "integrated"),
         "valid_readings": select(["equipment_id", "timestamp", "installation_date"], "valid"),
         "validity_counts": 'SELECT b AS "before", a AS "after", b - a AS removed FROM '
         "(SELECT (SELECT COUNT(*) FROM integrated) AS b, (SELECT COUNT(*) FROM valid) AS a)",

@@ -1,0 +1,201 @@
+"""Operators that avoid per-machine windows and joins, against the plain form of each."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ferrowatch import schemas
+from ferrowatch.functions.lookups import left_join_lookup
+from ferrowatch.operators import encoding, features, integrate, profile
+
+START = datetime(2024, 1, 1)
+NAN, INF = float("nan"), float("inf")
+
+
+def _moment(dice):
+    return START + timedelta(hours=6 * dice.randrange(40), minutes=dice.choice([0, 0, 7]))
+
+
+@pytest.fixture(scope="module")
+def tables(make):
+    """Small tables with a machine of many readings, repeated times, NULL keys and several rows a day."""
+    dice = random.Random(7)
+    machine = lambda: dice.choice([1, 1, 1, 1, 2, 3, 9, None])
+    when = lambda: None if dice.random() < 0.05 else _moment(dice)
+    number = lambda: round(dice.uniform(0, 100), 1)
+    sensor = [(machine(), when(), *[number() for _ in schemas.READING_COLUMNS]) for _ in range(300)]
+    logs = [
+        (machine(), when(), "Repair", "d", dice.randrange(3), number(), number(), "Motor", "Failed")
+        for _ in range(40)
+    ]
+    specs = [
+        (m, "m", "x", START, 1.0, 2.0, 3.0, 4.0, 2, START, "here", "High") for m in (1, 2, 2, 5, None)
+    ]
+    operational = [
+        (machine(), when(), number(), number(), number(), 1, "TypeA", "High", number(), number()) for _ in range(80)
+    ]
+    return (
+        make(sensor, schemas.SENSOR),
+        make(logs, schemas.MAINTENANCE),
+        make(specs, schemas.EQUIPMENT),
+        make(operational, schemas.OPERATIONAL),
+    )
+
+
+def test_integration_equals_joins_in_turn(tables, rows_of):
+    sensor, logs, specs, operational = tables
+    plain = integrate.with_specs(sensor, specs)
+    plain = integrate.with_latest_maintenance(plain, integrate.normalise_maintenance(logs))
+    plain = integrate.with_operational_day(plain, integrate.normalise_operational(operational))
+    plain = integrate.days_since_maintenance(plain).select(*schemas.INTEGRATED.names)
+    result = integrate.integrate_data(sensor, logs, specs, operational)
+    assert result.columns == schemas.INTEGRATED.names
+    assert rows_of(result) == rows_of(plain)
+
+
+def test_integration_keeps_extra_columns(tables):
+    sensor, logs, specs, operational = tables
+    result = integrate.integrate_data(sensor.withColumn("site", F.lit("a")), logs, specs, operational, ordered=True)
+    assert result.columns == schemas.INTEGRATED.names + ["site"]
+
+
+def test_latest_maintenance_equals_ranking(tables, rows_of):
+    logs = integrate.normalise_maintenance(tables[1])
+    rest = [c for c in logs.columns if c not in ("equipment_id", "maintenance_date")]
+    order = [F.desc_nulls_last("maintenance_date"), *[F.desc_nulls_last(c) for c in rest]]
+    ranked = logs.withColumn("pos", F.row_number().over(Window.partitionBy("equipment_id").orderBy(*order)))
+    assert rows_of(integrate.latest_maintenance(logs), *logs.columns) == rows_of(
+        ranked.filter("pos = 1"), *logs.columns
+    )
+
+
+def test_running_totals_equal_a_range_window(tables, rows_of):
+    df = integrate.integrate_data(*tables)
+    df = df.withColumn("cost", F.when(F.col("cost") > 20, F.floor("cost")).cast("double"))
+    df = df.withColumn("operating_hours", F.floor("operating_hours").cast("double"))
+    upto = (
+        Window.partitionBy("equipment_id").orderBy("timestamp").rangeBetween(Window.unboundedPreceding, 0)
+    )
+    expected = df.withColumn("cumulative_maintenance_cost", F.sum("cost").over(upto)).withColumn(
+        "cumulative_operating_hours", F.sum("operating_hours").over(upto)
+    )
+    result = features.cumulative_totals(df)
+    assert rows_of(result, *expected.columns) == rows_of(expected)
+
+
+def test_features_have_the_stage_columns(tables):
+    df = features.feature_engineering(integrate.integrate_data(*tables))
+    assert encoding.label_encode(df).columns == schemas.FEATURED.names
+    row = df.filter("equipment_id = 1 and timestamp is not null").first()
+    assert row["temp_pct_of_max"] == pytest.approx(row["temperature"] * 100)
+    assert row["estimated_rul"] == 4 * 365 - row["equipment_age_days"]
+
+
+def test_zero_limit_gives_null_percentage(make):
+    df = make([(1.0, 0.0, 1.0, 2.0, 1.0, None)], "temperature double, max_temperature double, pressure double, "
+              "max_pressure double, rotational_speed double, max_rotational_speed double")
+    row = features.pct_of_max(df).first()
+    assert (row["temp_pct_of_max"], row["pressure_pct_of_max"], row["speed_pct_of_max"]) == (None, 50.0, None)
+
+
+def test_labels_by_frequency_then_name(make, rows_of):
+    df = make([("b",), ("a",), ("c",), ("c",), (None,), ("",)], "kind string")
+    assert rows_of(encoding.label_mapping(df, ["kind"]), "code", "label") == [(0, "c"), (1, ""), (2, "a"), (3, "b")]
+    encoded = encoding.label_encode(df, ["kind"])
+    assert rows_of(encoded.distinct(), "kind", "kind_encoded") == [
+        (None, 4.0),
+        ("", 1.0),
+        ("a", 2.0),
+        ("b", 3.0),
+        ("c", 0.0),
+    ]
+
+
+def test_lookup_join_is_the_same_both_ways(make, rows_of):
+    df = make([("a", i) for i in range(50)] + [("a", 0)] * 5 + [(None, 1), ("z", 2), ("b", 3)], "k string, v int")
+    lookup = make([("a", 1.0), ("b", 2.0), (None, 3.0)], "k string, w double")
+    small = left_join_lookup(df, lookup, "k")
+    large = left_join_lookup(df, lookup, "k", max_rows=1, salts=4)
+    assert rows_of(small, "k", "v", "w") == rows_of(large, "k", "v", "w") == rows_of(df.join(lookup, "k", "left"), "k", "v", "w")
+    assert set(large.columns) == {"k", "v", "w"}
+
+
+PROFILE = "n int, x double, s string, t timestamp"
+
+
+@pytest.fixture(scope="module")
+def odd(make):
+    return make(
+        [
+            (1, 1.0, "a", START),
+            (2, NAN, "", START),
+            (3, INF, "a", None),
+            (None, 2.0, None, START),
+            (4, 3.0, "7", START),
+            (5, -INF, "", START),
+        ],
+        PROFILE,
+    )
+
+
+def test_missing_before_and_after_the_drop(odd, rows_of):
+    assert rows_of(profile.missing_counts(odd)) == [("n", 1), ("s", 3), ("t", 1), ("x", 3)]
+    before = profile.missing_counts(odd).select(F.lit("before").alias("phase"), "*")
+    after = profile.missing_counts(profile.drop_missing(odd)).select(F.lit("after").alias("phase"), "*")
+    assert rows_of(profile.missing_report(odd)) == rows_of(before.union(after))
+    assert rows_of(profile.drop_missing(odd), "n") == [(1,), (4,), (5,)]
+
+
+def test_summary_equals_describe(odd):
+    finite = odd.filter("x is null or x between -100 and 100")
+    described = {r["summary"]: r for r in finite.select("n", "x", "s").describe().collect()}
+    for row in profile.summary_stats(finite).collect():
+        name = row["column"]
+        assert str(row["count"]) == described["count"][name]
+        for ours, theirs in (("mean", "mean"), ("stddev", "stddev")):
+            text = described[theirs][name]
+            assert row[ours] == (None if text is None else pytest.approx(float(text)))
+        low, high = (row["min_text"], row["max_text"]) if name == "s" else (row["min_number"], row["max_number"])
+        assert (low, high) == (
+            (described["min"][name], described["max"][name])
+            if name == "s"
+            else (float(described["min"][name]), float(described["max"][name]))
+        )
+
+
+def test_profiles_of_an_empty_table(odd, rows_of):
+    empty = odd.filter("false")
+    assert {r["count"] for r in profile.summary_stats(empty).collect()} == {0}
+    assert rows_of(profile.outlier_counts(empty)) == [("n", 0), ("x", 0)]
+    assert {r["missing"] for r in profile.missing_counts(empty).collect()} == {0}
+
+
+def test_outliers_are_strictly_outside(make, rows_of):
+    df = make([(0.0, 5.0)] * 20 + [(100.0, 5.0)], "x double, y double")
+    assert rows_of(profile.outlier_counts(df)) == [("x", 1), ("y", 0)]
+
+
+def test_correlation_of_a_constant_is_in_no_class(make):
+    df = make([(1.0, 2.0, 5.0), (2.0, 4.0, 5.0), (3.0, 6.0, 5.0), (None, 0.0, 5.0)], "a double, b double, c double")
+    found = {(r["col_a"], r["col_b"]): (r["correlation"], r["strength"]) for r in profile.correlations(df).collect()}
+    assert found["a", "b"] == (pytest.approx(1.0), "strong")
+    assert found["a", "c"][1] is None and found["b", "c"][1] is None
+
+
+def test_frequencies_keep_the_top_values(make, rows_of):
+    df = make([(v,) for v in "aaabbc"] + [(None,)], "s string")
+    assert rows_of(profile.categorical_frequencies(df, top=3), "value", "count", "rank") == [
+        (None, 1, 3),
+        ("a", 3, 1),
+        ("b", 2, 2),
+    ]
+    assert rows_of(profile.categorical_cardinality(df)) == [("s", 4)]
+
+
+def test_validity_needs_an_installation_date(make):
+    df = make([(START, START), (START, None), (START - timedelta(days=1), START)], "timestamp timestamp, installation_date timestamp")
+    assert tuple(profile.validity_counts(df).first()) == (3, 1, 2)
+    assert profile.valid_readings(df).count() == 1
