@@ -78,8 +78,10 @@ def summary_stats(df: DataFrame) -> DataFrame:
         )
         stats = stats.join(extremes, "column", "left")
     else:
-        nothing = F.lit(None)
-        stats = stats.withColumns({"texts": nothing.cast("long"), "min_text": nothing.cast("string"), "max_text": nothing.cast("string")})
+        none = F.lit(None)
+        stats = stats.withColumns(
+            {"texts": none.cast("long"), "min_text": none.cast("string"), "max_text": none.cast("string")}
+        )
     return stats.select(
         "column",
         F.coalesce(F.when(is_text, F.col("texts")).otherwise(F.col("numbers")), F.lit(0)).alias("count"),

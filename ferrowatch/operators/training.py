@@ -157,16 +157,15 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
     An undefined measure is 0. The accuracy row carries its value in every measure.
     """
     cells = confusion_counts(df, label, prediction)
-    hit = F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(0)
-    none = F.lit(0).cast("long")
-    sides = F.array(
-        F.struct(
-            F.col("label").alias("class"), F.col("count").alias("actual"), none.alias("predicted"), hit.alias("hits")
-        ),
-        F.struct(
-            F.col("prediction").alias("class"), none.alias("actual"), F.col("count").alias("predicted"), none.alias("hits")
-        ),
-    )
+    rows, none = F.col("count"), F.lit(0).cast("long")
+    hits = F.when(F.col("label") == F.col("prediction"), rows).otherwise(0)
+
+    def side(name, actual, predicted, hits):
+        return F.struct(
+            F.col(name).alias("class"), actual.alias("actual"), predicted.alias("predicted"), hits.alias("hits")
+        )
+
+    sides = F.array(side("label", rows, none, hits), side("prediction", none, rows, none))
     totals = (
         cells.select(F.inline(sides))
         .groupBy("class")

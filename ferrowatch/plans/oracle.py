@@ -327,7 +327,7 @@ def _report_on_rule() -> str:
             CAST(SUM(actual) AS BIGINT) FROM per_class"""
 
 
-def _operational_checks(source: str, prefix: str = "") -> dict[str, str]:
+def _operational_checks() -> dict[str, str]:
     return {
         "future_dates": f'"date" > {AS_OF}',
         "invalid_production_rates": "production_rate < 0 OR production_rate > 100",
@@ -342,7 +342,7 @@ def _operational_checks(source: str, prefix: str = "") -> dict[str, str]:
 
 def _operational_report(source: str) -> str:
     return (
-        checks(source, _operational_checks(source))
+        checks(source, _operational_checks())
         + " UNION ALL SELECT 'unique_operator_ids', COUNT(*) FROM (SELECT DISTINCT operator_id FROM "
         + f"{source})"
     )
@@ -434,7 +434,7 @@ def _maintenance_checks(*names: str) -> str:
 
 
 def _check_queries() -> dict[str, str]:
-    op = _operational_checks("operational")
+    op = _operational_checks()
     all_ids = " UNION ".join(f"SELECT equipment_id FROM {table}" for table in _TABLES)
     absent = " OR ".join(
         f"NOT EXISTS (SELECT 1 FROM {table} t WHERE t.equipment_id = a.equipment_id)" for table in _TABLES
@@ -450,7 +450,7 @@ def _check_queries() -> dict[str, str]:
               FROM (SELECT equipment_id, COUNT(*) AS n, MIN("timestamp") AS lo, MAX("timestamp") AS hi
                     FROM sensor GROUP BY equipment_id))"""
     csv_logs = ", ".join(
-        f"NULLIF(parts_replaced, '') AS parts_replaced" if n == "parts_replaced" else shown(n)
+        "NULLIF(parts_replaced, '') AS parts_replaced" if n == "parts_replaced" else shown(n)
         for n in schemas.MAINTENANCE.names
     )
     return {
@@ -478,7 +478,7 @@ def _check_queries() -> dict[str, str]:
         "sensor_frequency_sample": frequency + " ORDER BY equipment_id LIMIT 5",
         "sensor_id_check": f"SELECT 'missing' AS side, equipment_id FROM ({missing}) "
         f"UNION ALL SELECT 'extra', equipment_id FROM ({extra})",
-        "sensor_ids_match": f"SELECT m AS missing_count, e AS extra_count, m = 0 AND e = 0 AS all_ids_match "
+        "sensor_ids_match": "SELECT m AS missing_count, e AS extra_count, m = 0 AND e = 0 AS all_ids_match "
         f"FROM (SELECT (SELECT COUNT(*) FROM ({missing})) AS m, (SELECT COUNT(*) FROM ({extra})) AS e)",
         "future_installations": _equipment_checks("future_installations"),
         "spec_limit_issues": _equipment_checks(
