@@ -604,7 +604,9 @@ def _preparation_queries() -> dict[str, str]:
         "label_mapping": 'SELECT "column", CAST(pos - 1 AS INT) AS code, value AS label FROM '
         f"({_frequency_ranks('cleaned', schemas.ENCODED_CATEGORIES, null_is_value=False)})",
         "label_encoded": _encoded(),
-        "negative_age_rows": select(["equipment_id", "timestamp", "equipment_age_days"], aged, "equipment_age_days < 0"),
+        "negative_age_rows": select(
+            ["equipment_id", "timestamp", "equipment_age_days"], aged, "equipment_age_days < 0"
+        ),
         "negative_age_sample": select(sample_columns, aged, "equipment_age_days < 0")
         + ' ORDER BY equipment_age_days, equipment_id, "timestamp" LIMIT 5',
         "negative_age_summary": f"""

@@ -114,15 +114,26 @@ def test_scores_at_their_limits(make):
 def test_distribution_shows_null_without_count(make):
     columns = recommend.CONDITION_SCORES + ["operational_score", "alert_score"]
     df = make([(0,) * 6 + (30,), (0,) * 6 + (None,)], ", ".join(f"{c} int" for c in columns))
-    found = {(r["column"], r["value"]): (r["count"], r["percentage"]) for r in recommend.score_distribution(df).collect()}
+    rows = recommend.score_distribution(df).collect()
+    found = {(r["column"], r["value"]): (r["count"], r["percentage"]) for r in rows}
     assert found["alert_score", None] == (0, 0.0)
     assert found["alert_score", 30] == (1, 50.0)
     assert found["operational_score", 0] == (2, 100.0)
 
 
-SIGNAL_COLUMNS = ["vibration", "noise_level", "temperature", "current", "power_output", "rotational_speed", "pressure", "oil_viscosity"]
-ITEM_COLUMNS = "i int, parts_replaced string, maintenance_needed string, maintenance_type string, equipment_id int, " + ", ".join(
-    f"{c} double" for c in SIGNAL_COLUMNS
+SIGNAL_COLUMNS = [
+    "vibration",
+    "noise_level",
+    "temperature",
+    "current",
+    "power_output",
+    "rotational_speed",
+    "pressure",
+    "oil_viscosity",
+]
+ITEM_COLUMNS = (
+    "i int, parts_replaced string, maintenance_needed string, maintenance_type string, equipment_id int, "
+    + ", ".join(f"{c} double" for c in SIGNAL_COLUMNS)
 )
 
 
@@ -149,7 +160,8 @@ def itemised(make):
 
 def test_items_follow_part_and_threshold(itemised):
     found = [r["maintenance_item"] for r in itemised.orderBy("i").collect()]
-    assert found == ["Motor", "Coupling", None, "Bearings", "Coupling", "Seals", "Coupling", "Filters", "Coupling", "Coupling"]
+    expected = ["Motor", "Coupling", None, "Bearings", "Coupling", "Seals", "Coupling", "Filters"]
+    assert found == expected + ["Coupling", "Coupling"]
     assert items.unassigned_count(itemised).first()["unassigned"] == 0
     assert items.item_inspection(itemised, "Motor").count() == 9
     assert items.item_inspection(itemised, "Filters").count() == 1

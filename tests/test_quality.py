@@ -69,7 +69,8 @@ def test_spec_limits_are_inclusive_and_ignore_null(make, rows_of):
 
 
 def test_later_today_is_future_with_zero_days(make):
-    logs = make([(at("2024-05-01 00:00:00"),), (at("2024-05-01 08:00:00"),), (at("2024-05-03"),), (None,)], "date timestamp")
+    dates = [at("2024-05-01 00:00:00"), at("2024-05-01 08:00:00"), at("2024-05-03"), None]
+    logs = make([(date,) for date in dates], "date timestamp")
     flagged = maintenance_quality.flag_future_dates(logs, "2024-05-01").orderBy("date")
     assert [(r["is_future_date"], r["days_in_future"]) for r in flagged.collect()] == [
         (False, 0),

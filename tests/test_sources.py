@@ -8,7 +8,7 @@ def test_csv_binds_by_position_and_reads_empty_text_as_null(spark, make, tmp_pat
     path = str(tmp_path / "logs")
     tables.write_table(make([(1, "", 2.5), (2, "x", None)], "a int, b string, c double"), path)
     tables.write_table(make([(1, "", 2.5), (2, "x", None)], "a int, b string, c double"), path)
-    typed = tables.read_table(spark, path, schema=schemas._struct(("p", schemas._INT), ("q", schemas._STRING), ("r", schemas._DOUBLE)))
+    typed = tables.read_table(spark, path, schema="p int, q string, r double")
     assert rows_of(typed, "p", "q", "r") == [(1, None, 2.5), (2, "x", None)]
     assert tables.read_table(spark, path).schema["a"].dataType.typeName() == "integer"
     text = tables.read_table(spark, path, infer=False)
