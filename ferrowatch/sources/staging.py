@@ -5,27 +5,25 @@ table gives each of those passes column pruning, is computed once however many p
 and outlives a lost executor.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+# Folders written by this driver and not released yet.
+_written: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the session names; where none is set, a local one (local runs only)."""
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if folder:
-        return folder
-    folder = spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="ferrowatch-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """The checkpoint folder the session names, else a folder of its warehouse.
+
+    Both are on the file system that driver and executors share.
+    """
+    folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+    return folder.rstrip("/")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -36,7 +34,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark).rstrip('/')}/ferrowatch/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/ferrowatch/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -44,3 +44,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what this driver has staged; returns the number of folders.
+
+    For callers that have read their results: frames built on a stage cannot be read afterwards.
+    """
+    released = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        released += bool(system.delete(path, True))
+    return released

@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from ferrowatch.plans import catalogue, oracle
 
 DIRECTORY = Path("/root/testdata/sf0.001")
-SQL = entry_points.oracle_sql()
-QUERIES = entry_points.queries()
+SQL = oracle.oracle_sql()
+QUERIES = catalogue.queries()
 
 
 @pytest.fixture(scope="module")
