@@ -6,8 +6,9 @@ combined before the shuffle; a document alone in its group is done and its text
 The others are written once and split level by level, each by the next stride of bytes inside its
 group, until a group is a singleton or its bytes are used up: documents that are still together
 then are equal, byte by byte. No digest stands in for the comparison. A level's groups are
-written before they are joined back, so that both sides of the join come from a shuffle and the
-rows of a hot group are spread by AQE's skew join; nothing collects a group's members.
+written before they are joined back, and the join sorts and merges at every size, so that both
+sides come from a shuffle and the rows of a hot group are spread by AQE's skew join; nothing
+collects a group's members.
 """
 
 from functools import reduce
@@ -45,7 +46,7 @@ def _split(rows: DataFrame, level: int) -> DataFrame:
     )
     ended = F.octet_length("rest") <= width
     return (
-        digits.join(groups, ["gid", "digit"])
+        digits.join(groups.hint("merge"), ["gid", "digit"])
         .withColumn("done", ended | (F.col("group_size") == 1))
         .select(
             "uid",
@@ -84,13 +85,14 @@ def exact_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
         .drop("n"),
         "radix_groups_0",
     )
-    alone = keyed.join(shared, [length, digit], "left_anti").select(
+    alone = keyed.join(shared.hint("merge"), [length, digit], "left_anti").select(
         *columns,
         F.col(quoted(doc_id)).alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"),
     )
-    together = stage(keyed.join(shared, [length, digit]).select(*columns, uid, gid), "radix_rows")
+    together = keyed.join(shared.hint("merge"), [length, digit]).select(*columns, uid, gid)
+    together = stage(together, "radix_rows")
     rows = together.select(
         F.col(uid).alias("uid"),
         F.col(quoted(doc_id)).alias("id"),
