@@ -12,6 +12,7 @@ from ferrowatch.llm import (
     exact_dedup,
     language_id,
     mixing,
+    near_dedup,
     packing,
     secret_scan,
     token_files,
@@ -59,6 +60,11 @@ def url_filter_query(spark: SparkSession, directory: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def near_dedup_query(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents")
+    return near_dedup.near_groups(docs, width=2, threshold=80)
+
+
 def mixing_query(spark: SparkSession, directory: str) -> DataFrame:
     mix = mixing.Mix(table(spark, directory, "documents"), weights=(1, 2, 3), cap=3)
     decisions = mix.decisions()
@@ -129,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_output": token_output_query,
         "op3_language_id": language_query,
         "op4_url_filter": url_filter_query,
+        "op6_near_dedup": near_dedup_query,
         "op7_source_mixing": mixing_query,
         "op8_chat_format": chat_query,
         "op9_secret_scan": secret_query,
