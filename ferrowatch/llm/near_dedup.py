@@ -8,10 +8,9 @@ all 32 bands with a probability below 1e-7.
 
 Documents with equal sets are one node. A bucket does not emit its pairs: its members are held
 against one pivot, the member that shares its buckets with the most others, on full sets. What
-lies in other components of its bucket afterwards is held against the rest of the bucket, unless
-sizes or the triangle inequality over the pivot rule a link out. So every pair that a bucket
-brings together is linked by a path, compared, or shown not to be a link. Components are found by
-alternating large-star and small-star steps on tables.
+lies in other components than its pivot afterwards is held against the pivot's other members in
+blocks that emit links only. So every pair that a bucket brings together is compared or linked by
+a path. Components are found by alternating large-star and small-star steps on tables.
 """
 
 import hashlib
@@ -33,6 +32,9 @@ PERMUTATIONS = 64
 BAND = 4
 # Sets of pivots that a task keeps while their neighbours pass by.
 KEPT_SETS = 64
+# Members, and shingles, of a block of a bucket's second comparison.
+BLOCK_NODES = 256
+BLOCK_SHINGLES = 1_000_000
 NO_ID = 2**63 - 1
 
 _generator = np.random.default_rng(20250101)
@@ -147,6 +149,81 @@ def _links(compared: DataFrame, threshold: int) -> DataFrame:
     return compared.where(100 * F.col("both") >= threshold * union).select("a", "b")
 
 
+def _across(
+    beside: DataFrame, groups: DataFrame, texts: DataFrame, width: int, threshold: int
+) -> DataFrame:
+    """Links (a, b) of members of a pivot that are outside its component with its other members.
+
+    Both sides are dealt into blocks and each pair of blocks is compared in one call, which emits
+    links only, and only one from a member to each other component. A row travels once per block
+    of the other side, so neither pairs nor whole groups are ever made.
+    """
+    placed = beside.join(groups.hint("merge"), "node", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "node"))
+    of_pivot = groups.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+    placed = placed.join(of_pivot.hint("merge"), "pivot", "left")
+    far = F.col("root") != F.coalesce("pivot_root", "pivot")
+    placed = stage(placed.select("pivot", "node", "n", "root", far.alias("far")), "near_placed")
+
+    def blocks(count, shingles):
+        return F.ceil(count / BLOCK_NODES + shingles / BLOCK_SHINGLES).cast("int")
+
+    dealt = placed.groupBy("pivot").agg(
+        blocks(F.count_if("far"), F.sum(F.when(F.col("far"), F.col("n")).otherwise(0))).alias("n_far"),
+        blocks(F.count("*"), F.sum("n")).alias("n_all"),
+    )
+    dealt = stage(dealt.where("n_far > 0"), "near_blocks").hint("merge")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.where("far").join(dealt, "pivot").select(
+        "pivot", "node", "root", block("n_far").alias("far_block"), each("n_all").alias("block")
+    )
+    right = placed.join(dealt, "pivot").select(
+        "pivot", "node", "root", each("n_far").alias("far_block"), block("n_all").alias("block")
+    )
+
+    def compare(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        if not mine.num_rows or not theirs.num_rows:
+            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+        sets = list(shingle_sets(mine.column("body").to_pylist(), width))
+        sizes = np.array([len(s) for s in sets])
+        shingles, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(shingles, kind="stable")
+        shingles, owner = shingles[order], owner[order]
+        nodes, roots = mine.column("node").to_pylist(), mine.column("root").to_pylist()
+        found: dict[tuple[bytes, bytes], bytes] = {}
+        others = zip(
+            theirs.column("NODE").to_pylist(),
+            theirs.column("ROOT").to_pylist(),
+            shingle_sets(theirs.column("BODY").to_pylist(), width),
+            strict=True,
+        )
+        for node, root, own in others:
+            low = np.searchsorted(shingles, own)
+            runs = np.searchsorted(shingles, own, side="right") - low
+            # The owners of all shingles that this set shares with the block.
+            at = np.repeat(low - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+            both = np.bincount(owner[at], minlength=len(sets))
+            close = 100 * both >= threshold * (sizes + len(own) - both)
+            for place in np.flatnonzero(close):
+                if roots[place] != root:
+                    found.setdefault((nodes[place], root), node)
+        return pa.table(
+            {
+                "a": pa.array([a for a, _ in found], pa.binary()),
+                "b": pa.array(list(found.values()), pa.binary()),
+            }
+        )
+
+    keys = ["pivot", "far_block", "block"]
+    body = texts.hint("merge")
+    left, right = left.join(body, "node"), right.join(body, "node")
+    # Columns of their own for either side of the cogroup.
+    right = right.select([F.col(c).alias(c.upper()) for c in right.columns])
+    grouped = left.groupBy(*keys).cogroup(right.groupBy(*[key.upper() for key in keys]))
+    return grouped.applyInArrow(compare, "a binary, b binary")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b): root is the smallest node reachable.
 
@@ -221,59 +298,21 @@ def near_groups(
         "near_pivots",
     )
     beside = stage(
-        shared.join(pivots.hint("merge"), "key").select("key", "node", "n", "pivot"), "near_beside"
+        shared.join(pivots.hint("merge"), "key").select("pivot", "node", "n").distinct(), "near_beside"
     )
-    first = stage(
-        beside.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(),
-        "near_pairs",
+    first = beside.where("node <> pivot").select(
+        F.col("node").alias("a"), F.col("pivot").alias("b")
     )
     # Texts of all that share a bucket; the second comparison asks for no others.
-    wanted = nodes.join(shared.select("node").distinct().hint("merge"), "node").select(
+    wanted = nodes.join(beside.select("node").distinct().hint("merge"), "node").select(
         F.when(F.col("least_id") != NO_ID, F.col("least_id")).alias("wanted_id"), "node"
     )
-    texts = stage(_texts(rows, wanted, width).groupBy("node").agg(F.first("body").alias("body")), "near_texts")
-    compared = stage(_compared(first, texts, width), "near_compared")
-    links = _links(compared, threshold)
+    texts = _texts(rows, wanted, width).groupBy("node").agg(F.first("body").alias("body"))
+    texts = stage(texts, "near_texts")
+    links = _links(stage(_compared(first, texts, width), "near_compared"), threshold)
     groups = stage(components(links), "near_groups")
-
-    # What is left between the components of a bucket.
-    distance = compared.select(
-        F.col("a").alias("node"),
-        F.col("b").alias("pivot"),
-        (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("away"),
-    )
-    placed = beside.join(distance.hint("merge"), ["node", "pivot"], "left")
-    placed = placed.withColumn("away", F.coalesce("away", F.lit(0.0)))
-    placed = placed.join(groups.hint("merge"), "node", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "node"))
-    of_pivot = groups.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-    placed = placed.join(of_pivot.hint("merge"), "pivot", "left")
-    placed = stage(placed.withColumn("pivot_root", F.coalesce("pivot_root", "pivot")), "near_placed")
-    outside = placed.where("root <> pivot_root")
-    others = placed.where("node <> pivot").select(
-        "key",
-        F.col("node").alias("o_node"),
-        F.col("n").alias("o_n"),
-        F.col("away").alias("o_away"),
-        F.col("root").alias("o_root"),
-        (F.col("root") == F.col("pivot_root")).alias("o_inside"),
-    )
-    reach = 1 - threshold / 100 + 1e-9
-    possible = (
-        (F.col("root") != F.col("o_root"))
-        & (F.col("o_inside") | (F.col("node") < F.col("o_node")))
-        & (100 * F.least("n", "o_n") >= threshold * F.greatest("n", "o_n"))
-        & (F.abs(F.col("away") - F.col("o_away")) <= reach)
-    )
-    second = stage(
-        outside.join(others.hint("merge"), "key")
-        .where(possible)
-        .select(F.greatest("node", "o_node").alias("a"), F.least("node", "o_node").alias("b"))
-        .distinct(),
-        "near_pairs",
-    )
-    if not second.isEmpty():
-        more = stage(_links(_compared(second, texts, width), threshold), "near_links")
+    more = stage(_across(beside, groups, texts, width, threshold), "near_links")
+    if not more.isEmpty():
         star = groups.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         groups = stage(components(star.unionAll(more)), "near_groups")
 
