@@ -13,6 +13,7 @@ from ferrowatch.llm import (
     language_id,
     mixing,
     near_dedup,
+    neighbours,
     packing,
     secret_scan,
     token_files,
@@ -60,6 +61,11 @@ def url_filter_query(spark: SparkSession, directory: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def neighbours_query(spark: SparkSession, directory: str) -> DataFrame:
+    vectors = table(spark, directory, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def near_dedup_query(spark: SparkSession, directory: str) -> DataFrame:
     docs = table(spark, directory, "documents")
     return near_dedup.near_groups(docs, width=2, threshold=80)
@@ -135,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_output": token_output_query,
         "op3_language_id": language_query,
         "op4_url_filter": url_filter_query,
+        "op5_nearest_neighbours": neighbours_query,
         "op6_near_dedup": near_dedup_query,
         "op7_source_mixing": mixing_query,
         "op8_chat_format": chat_query,
