@@ -9,7 +9,8 @@ the ids are those of the tokenizer in every case.
 import json
 import os
 import re
-from itertools import chain
+import struct
+from itertools import chain, product
 
 import numpy as np
 
@@ -23,8 +24,25 @@ BLOCK = 1 << 20
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Byte-level pieces take one space before a word with them. Runs of three, or of two at the end,
 # and white space of other kinds make pieces that no single cut makes.
-_ODD = re.compile(r"[^\S \n]|[ \n]{3}|[ \n]{2}\Z")
+_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_RUNS = ["".join(run) for run in product(" \n", repeat=3)]
+_ENDS = tuple("".join(run) for run in product(" \n", repeat=2))
 
+# A cut that is one word and the punctuation after it has one or two pieces.
+_WORD = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~]*)")
+
+
+
+def _spelling() -> dict[int, int]:
+    """The characters that stand for bytes: printable ones for themselves, the others in order
+    from 256."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [byte for byte in range(256) if byte not in shown]
+    return {byte: 256 + place for place, byte in enumerate(hidden)}
+
+
+_SPELLING = _spelling()
+_SPACE = chr(_SPELLING[ord(" ")])
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -41,25 +59,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {"": b""}
-        self.cut = self._rule(json.loads(self.tokenizer.to_str()))
+        self.cut, self.piece = self._rule(json.loads(self.tokenizer.to_str()))
 
     def _rule(self, config: dict):
         before = config["pre_tokenizer"] or {}
         if before.get("type") == "ByteLevel" and not config["normalizer"]:
             if before["use_regex"] and not before["add_prefix_space"]:
-                return self._with_space
+                return self._with_space, self._byte_piece
         if before.get("type") == "Sequence":
             split = before["pretokenizers"][0]
             pieces = split.get("type") == "Split" and split["pattern"].get("Regex") == WORD_PIECES
             kinds = {n["type"] for n in (config["normalizer"] or {}).get("normalizers", [])}
             if pieces and split["invert"] and kinds <= {"NFC", "Lowercase", "Replace"}:
-                return self._at_space
-        return lambda text: None
+                return self._at_space, self._word_piece
+        return lambda text: None, None
 
     @staticmethod
     def _with_space(text: str) -> list[str] | None:
-        if _ODD.search(text):
+        if text.endswith(_ENDS) or any(run in text for run in _RUNS) or _OTHER_SPACE.search(text):
             return None
         first, *rest = text.replace("\n", " \n").split(" ")
         return [first, *[cut if cut[:1] == "\n" else " " + cut for cut in rest]]
@@ -68,6 +87,49 @@ class Encoder:
     def _at_space(text: str) -> list[str]:
         return text.replace("\n", " ").split(" ")
 
+    @staticmethod
+    def _byte_piece(piece: str) -> str:
+        """A piece as the byte-level model spells it."""
+        if piece.isascii():
+            return piece.replace(" ", _SPACE)
+        return piece.encode().decode("latin-1").translate(_SPELLING)
+
+    def _normal(self, piece: str) -> str:
+        return piece.lower() if piece.isascii() else self.tokenizer.normalizer.normalize_str(piece)
+
+    def _word_piece(self, piece: str) -> str:
+        return self._byte_piece(self._normal(piece))
+
+    def _of_model(self, piece: str) -> bytes:
+        found = self.model.tokenize(self.piece(piece))
+        return struct.pack(f"<{len(found)}I", *[token.id for token in found])
+
+    def _fresh(self, cuts: list[str]) -> None:
+        """Remember cuts not seen before. Single words go straight to the model; all else, such as
+        digits, contractions and special tokens, through the whole tokenizer."""
+        memo, rest = self.memo, []
+        for cut in cuts:
+            match = _WORD.fullmatch(cut)
+            head = match and match[1]
+            if not head or not head.lstrip(" ").isalpha() or not self._plain(head):
+                rest.append(cut)
+                continue
+            ids = memo.get(head)
+            if ids is None:
+                ids = memo[head] = self._of_model(head)
+            tail = match[2]
+            if tail:
+                end = memo.get(tail)
+                if end is None:
+                    end = memo[tail] = self._of_model(tail)
+                memo[cut] = ids + end
+        if rest:
+            memo.update(zip(rest, self._ids(rest), strict=True))
+
+    def _plain(self, head: str) -> bool:
+        """Whether a word stays one piece when it is spelled."""
+        return self.piece == self._byte_piece or head.isascii() or self._normal(head).isalpha()
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
@@ -90,8 +152,7 @@ class Encoder:
             if len(self.memo) > MEMO_ENTRIES:
                 self.memo = {"": b""}
                 missing = set(chain.from_iterable(c for c in cuts if c)) - {""}
-            words = list(missing)
-            self.memo.update(zip(words, self._ids(words), strict=True))
+            self._fresh(list(missing))
         known = self.memo.__getitem__
         out = [
             self._ids([text])[0] if cut is None else b"".join(map(known, cut))
@@ -99,5 +160,5 @@ class Encoder:
         ]
         for word in missing:
             if len(word) > MEMO_CHARS:
-                del self.memo[word]
+                self.memo.pop(word, None)
         return out
