@@ -120,7 +120,8 @@ def correct_invalid_hours(operational: DataFrame) -> DataFrame:
     over = _total_hours() > HOURS_PER_DAY
     half = F.lit(HOURS_PER_DAY / 2)
     operating = F.coalesce(F.col("share") * HOURS_PER_DAY, half)
-    downtime = F.coalesce((1 - F.col("share")) * HOURS_PER_DAY, half)
+    # What is left of the day, so that a corrected day has exactly 24 hours.
+    downtime = HOURS_PER_DAY - operating
     corrected = {
         "operating_hours": F.when(over, operating).otherwise(F.col("operating_hours")),
         "downtime_hours": F.when(over, downtime).otherwise(F.col("downtime_hours")),

@@ -4,9 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrowatch.functions.expressions import safe_div, shares, total_of, value_counts
-from ferrowatch.functions.lookups import left_join_lookup
 from ferrowatch.operators.features import DAYS_PER_YEAR
 from ferrowatch.schemas import NOT_REQUIRED, REQUIRED
+from ferrowatch.sources.staging import stage
 
 # Points and limits of the score.
 ALERT_POINTS = {"Normal": 0, "Warning": 30, "Danger": 50}
@@ -72,8 +72,10 @@ def criticality_avg_annual_cost(df: DataFrame) -> DataFrame:
 def with_criticality_cost(df: DataFrame, averages: DataFrame | None = None) -> DataFrame:
     """Add the average of the row's criticality and the threshold above it; none for NULL."""
     averages = criticality_avg_annual_cost(df) if averages is None else averages
+    # Written, so that Spark knows its size when it picks the join.
+    averages = stage(averages, "criticality_cost")
     stale = [name for name in ("criticality_avg_annual_cost", "threshold") if name in df.columns]
-    joined = left_join_lookup(df.drop(*stale), averages, "criticality")
+    joined = df.drop(*stale).join(averages, "criticality", "left")
     kept = [name for name in df.columns if name not in stale]
     return joined.select(
         *kept,

@@ -143,18 +143,12 @@ def _four(t: DomainTables):
     return t.sensor, t.maintenance, t.equipment, t.operational
 
 
-# A corrected day adds up to 24 hours but for the last bit of a double, which follows the order
-# of summation in the mean. The recounts of hours above 24 are thus no value to compare; the
-# other rows are.
 def _correction_report(t: DomainTables) -> DataFrame:
-    report = operational_quality.correction_report(t.operational, AS_OF)
-    return report.filter((F.col("phase") == "before") | (F.col("check") != "invalid_hours"))
+    return operational_quality.correction_report(t.operational, AS_OF)
 
 
 def _hours_categories_report(t: DomainTables) -> DataFrame:
-    report = operational_quality.hours_categories_report(t.operational)
-    comparable = ~F.col("invalid_category").isin("exceeds_24", "valid")
-    return report.filter((F.col("phase") == "before") | comparable)
+    return operational_quality.hours_categories_report(t.operational)
 
 
 def _preparation() -> dict[str, Callable[[DomainTables], DataFrame]]:
@@ -225,6 +219,13 @@ def _grading() -> dict[str, Callable[[DomainTables], DataFrame]]:
     def alerted(t):
         return alerts.add_alerts(chain.engineered(t))
 
+    def graded(t):
+        # Grading needs the readings and their limits alone.
+        limits = ["max_temperature", "max_pressure", "max_rotational_speed"]
+        return alerts.add_alerts(
+            stage(chain.cleaned(t).select(*KEY, *schemas.READING_COLUMNS, *limits), "graded_readings")
+        )
+
     def inspection(item):
         return lambda t: items.item_inspection(chain.itemised(t), item)
 
@@ -232,16 +233,16 @@ def _grading() -> dict[str, Callable[[DomainTables], DataFrame]]:
     return {
         "alert_limits": lambda t: alerts.alert_limits(chain.cleaned(t)),
         "alerts": lambda t: alerted(t).select(*KEY, *schemas.ALERT_COLUMNS, "alert"),
-        "alert_percentages": lambda t: alerts.alert_percentages(alerted(t)),
-        "detailed_alert_percentages": lambda t: alerts.detailed_alert_percentages(alerted(t)),
-        "alert_sample": lambda t: alerts.alert_sample(alerted(t)),
+        "alert_percentages": lambda t: alerts.alert_percentages(graded(t)),
+        "detailed_alert_percentages": lambda t: alerts.detailed_alert_percentages(graded(t)),
+        "alert_sample": lambda t: alerts.alert_sample(graded(t)),
         "criticality_cost": lambda t: recommend.criticality_avg_annual_cost(chain.engineered(t)),
         "scores": lambda t: chain.scored(t).select(*KEY, "alert", *score_columns),
         "score_distribution": lambda t: recommend.score_distribution(chain.scored(t)),
         "maintenance_percentages": lambda t: recommend.maintenance_percentages(chain.scored(t)),
-        "stat_thresholds": lambda t: items.stat_thresholds(chain.scored(t)),
-        "history_thresholds": lambda t: items.history_thresholds(chain.scored(t)),
-        "item_thresholds": lambda t: items.item_thresholds(chain.scored(t)),
+        "stat_thresholds": lambda t: items.stat_thresholds(chain.cleaned(t)),
+        "history_thresholds": lambda t: items.history_thresholds(chain.cleaned(t)),
+        "item_thresholds": lambda t: items.item_thresholds(chain.cleaned(t)),
         "items": lambda t: chain.itemised(t).select(
             *KEY, "parts_replaced", "total_score", "maintenance_needed", "maintenance_item"
         ),

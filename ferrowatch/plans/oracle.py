@@ -63,7 +63,7 @@ def _ctes() -> dict[str, str]:
             SELECT * EXCLUDE (ratio) REPLACE (
                 CASE WHEN operating_hours + downtime_hours > 24 THEN COALESCE(ratio * 24, 12)
                      ELSE operating_hours END AS operating_hours,
-                CASE WHEN operating_hours + downtime_hours > 24 THEN COALESCE((1 - ratio) * 24, 12)
+                CASE WHEN operating_hours + downtime_hours > 24 THEN 24 - COALESCE(ratio * 24, 12)
                      ELSE downtime_hours END AS downtime_hours)
             FROM (SELECT *, AVG(operating_hours / NULLIF(operating_hours + downtime_hours, 0))
                             OVER (PARTITION BY equipment_id) AS ratio FROM operational)""",
@@ -518,11 +518,10 @@ def _check_queries() -> dict[str, str]:
         "corrected_hours": select(schemas.OPERATIONAL.names, "corrected"),
         "correction_report": f"""
             SELECT 'before' AS phase, * FROM ({_operational_report('operational')})
-            UNION ALL SELECT 'after', * FROM ({_operational_report('corrected')}) WHERE "check" <> 'invalid_hours'""",
+            UNION ALL SELECT 'after', * FROM ({_operational_report('corrected')})""",
         "hours_categories_report": f"""
             SELECT 'before' AS phase, * FROM ({_hours_categories('operational')})
-            UNION ALL SELECT 'after', * FROM ({_hours_categories('corrected')})
-            WHERE invalid_category NOT IN ('exceeds_24', 'valid')""",
+            UNION ALL SELECT 'after', * FROM ({_hours_categories('corrected')})""",
         "maintenance_flags": _flags(),
         "maintenance_date_range": _date_range("maintenance"),
         "type_counts": _category_counts("maintenance_type", schemas.MAINTENANCE_TYPES),

@@ -1,11 +1,13 @@
 """Properties of the physical plans that matter at scale."""
 
 import re
+from pathlib import Path
 
 import pytest
 
 from ferrowatch.operators import alerts, features, integrate, items, sensor_quality
 from ferrowatch.plans import chain
+from ferrowatch.sources import staging
 from ferrowatch.sources.projections import DomainTables
 from ferrowatch.sources.staging import stage
 
@@ -67,6 +69,22 @@ def test_limits_and_thresholds_read_only_their_columns(cleaned):
     assert "description" not in plan.split("ReadSchema")[1]
 
 
+def test_thresholds_and_shares_of_alerts_join_nothing(cleaned):
+    assert "Join" not in plan_of(items.item_thresholds(cleaned))
+    assert "Join" not in plan_of(alerts.alert_percentages(alerts.add_alerts(cleaned)))
+
+
+def test_release_deletes_what_was_staged(spark):
+    staged = stage(spark.range(3), "released")
+    assert staged.count() == 3
+    folders = {file.rpartition("/")[0] for file in staged.inputFiles()}
+    held = staging._written[:-1]
+    staging._written[:] = staging._written[-1:]
+    assert staging.release(spark) == 1
+    staging._written[:] = held
+    assert not any(Path(folder.removeprefix("file://").removeprefix("file:")).exists() for folder in folders)
+
+
 def test_range_sort_can_split_copies(cleaned):
     plan = plan_of(integrate.order_for_output(cleaned))
     keys = r"equipment_id#\d+ ASC NULLS FIRST, timestamp#\d+ ASC NULLS FIRST, _position"

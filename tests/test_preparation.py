@@ -8,7 +8,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ferrowatch import schemas
-from ferrowatch.functions.lookups import left_join_lookup
 from ferrowatch.operators import encoding, features, integrate, profile
 
 START = datetime(2024, 1, 1)
@@ -114,16 +113,6 @@ def test_labels_by_frequency_then_name(make, rows_of):
     ]
 
 
-def test_lookup_join_is_the_same_both_ways(make, rows_of):
-    df = make([("a", i) for i in range(50)] + [("a", 0)] * 5 + [(None, 1), ("z", 2), ("b", 3)], "k string, v int")
-    lookup = make([("a", 1.0), ("b", 2.0), (None, 3.0)], "k string, w double")
-    small = left_join_lookup(df, lookup, "k")
-    large = left_join_lookup(df, lookup, "k", max_rows=1, salts=4)
-    plain = rows_of(df.join(lookup, "k", "left"), "k", "v", "w")
-    assert rows_of(small, "k", "v", "w") == rows_of(large, "k", "v", "w") == plain
-    assert set(large.columns) == {"k", "v", "w"}
-
-
 PROFILE = "n int, x double, s string, t timestamp"
 
 
