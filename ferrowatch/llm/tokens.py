@@ -9,16 +9,18 @@ the ids are those of the tokenizer in every case.
 import json
 import os
 import re
-import struct
 from itertools import chain, product
 
 import numpy as np
 
-# Different cuts that a worker process remembers, and the longest that it does.
+# Different cuts in each of the two generations that a worker process remembers, and the longest
+# that it does.
 MEMO_ENTRIES = 400_000
 MEMO_CHARS = 64
 # Characters that are encoded at once.
 BLOCK = 1 << 20
+# New words that are encoded as one text.
+JOINED = 1000
 
 # The pieces of the word tokenizer, none of which holds white space.
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -29,20 +31,14 @@ _RUNS = ["".join(run) for run in product(" \n", repeat=3)]
 _ENDS = tuple("".join(run) for run in product(" \n", repeat=2))
 
 # A cut that is one word and the punctuation after it has one or two pieces.
-_WORD = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~]*)")
-
-
-
-def _spelling() -> dict[int, int]:
-    """The characters that stand for bytes: printable ones for themselves, the others in order
-    from 256."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = [byte for byte in range(256) if byte not in shown]
-    return {byte: 256 + place for place, byte in enumerate(hidden)}
-
-
-_SPELLING = _spelling()
-_SPACE = chr(_SPELLING[ord(" ")])
+_WORD = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+# Before a cut that nothing precedes; no other cut begins with it.
+_MARK = "\r"
+
+# What the byte-level vocabulary writes for a space, and what ends a word there in
+# the other kind.
+_SPACE = "\u0120"
+_WORD_END = "</w>"
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -59,76 +55,92 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.memo: dict[str, bytes] = {"": b""}
-        self.cut, self.piece = self._rule(json.loads(self.tokenizer.to_str()))
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends = self.starts.copy()
+        for token, place in vocabulary.items():
+            self.starts[place] = token.startswith(_SPACE)
+            self.ends[place] = token.endswith(_WORD_END)
+        self.cut, self.spaced = self._rule(json.loads(self.tokenizer.to_str()))
 
     def _rule(self, config: dict):
+        """How to cut a text, and whether a cut stands for the space before it too."""
         before = config["pre_tokenizer"] or {}
         if before.get("type") == "ByteLevel" and not config["normalizer"]:
             if before["use_regex"] and not before["add_prefix_space"]:
-                return self._with_space, self._byte_piece
+                return self._with_space, True
         if before.get("type") == "Sequence":
             split = before["pretokenizers"][0]
             pieces = split.get("type") == "Split" and split["pattern"].get("Regex") == WORD_PIECES
             kinds = {n["type"] for n in (config["normalizer"] or {}).get("normalizers", [])}
             if pieces and split["invert"] and kinds <= {"NFC", "Lowercase", "Replace"}:
-                return self._at_space, self._word_piece
-        return lambda text: None, None
+                return self._at_space, False
+        return lambda text: None, False
 
     @staticmethod
     def _with_space(text: str) -> list[str] | None:
         if text.endswith(_ENDS) or any(run in text for run in _RUNS) or _OTHER_SPACE.search(text):
             return None
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[cut if cut[:1] == "\n" else " " + cut for cut in rest]]
+        cuts = text.replace("\n", " \n").split(" ")
+        cuts[0] = _MARK + cuts[0]
+        return cuts
 
     @staticmethod
     def _at_space(text: str) -> list[str]:
         return text.replace("\n", " ").split(" ")
 
-    @staticmethod
-    def _byte_piece(piece: str) -> str:
-        """A piece as the byte-level model spells it."""
-        if piece.isascii():
-            return piece.replace(" ", _SPACE)
-        return piece.encode().decode("latin-1").translate(_SPELLING)
-
-    def _normal(self, piece: str) -> str:
-        return piece.lower() if piece.isascii() else self.tokenizer.normalizer.normalize_str(piece)
-
-    def _word_piece(self, piece: str) -> str:
-        return self._byte_piece(self._normal(piece))
-
-    def _of_model(self, piece: str) -> bytes:
-        found = self.model.tokenize(self.piece(piece))
-        return struct.pack(f"<{len(found)}I", *[token.id for token in found])
+    def _whole(self, cut: str) -> str:
+        """The text that a cut stands for."""
+        if cut[:1] == _MARK:
+            return cut[1:]
+        return " " + cut if self.spaced and cut[:1] != "\n" else cut
 
     def _fresh(self, cuts: list[str]) -> None:
-        """Remember cuts not seen before. Single words go straight to the model; all else, such as
-        digits, contractions and special tokens, through the whole tokenizer."""
-        memo, rest = self.memo, []
+        """Remember cuts not seen before. A word and the punctuation after it are encoded apart;
+        all else, such as digits, contractions and special tokens, by itself."""
+        memo = self.memo
+        words, rest, parted = set(), set(), []
         for cut in cuts:
-            match = _WORD.fullmatch(cut)
-            head = match and match[1]
-            if not head or not head.lstrip(" ").isalpha() or not self._plain(head):
-                rest.append(cut)
+            match = _WORD.fullmatch(cut) if len(cut) <= MEMO_CHARS else None
+            if not match:
+                rest.add(cut)
                 continue
-            ids = memo.get(head)
-            if ids is None:
-                ids = memo[head] = self._of_model(head)
-            tail = match[2]
+            head, tail = match.groups()
             if tail:
-                end = memo.get(tail)
-                if end is None:
-                    end = memo[tail] = self._of_model(tail)
-                memo[cut] = ids + end
-        if rest:
-            memo.update(zip(rest, self._ids(rest), strict=True))
-
-    def _plain(self, head: str) -> bool:
-        """Whether a word stays one piece when it is spelled."""
-        return self.piece == self._byte_piece or head.isascii() or self._normal(head).isalpha()
+                tail = _MARK + tail
+                parted.append((cut, head, tail))
+                if tail not in memo:
+                    rest.add(tail)
+            if head not in memo:
+                words.add(head)
+        for kind, encode in ((words, self._joined), (rest, self._single)):
+            listed = list(kind)
+            memo.update(zip(listed, encode(listed), strict=True))
+        memo.update((cut, memo[head] + memo[tail]) for cut, head, tail in parted)
+
+    def _single(self, cuts: list[str]) -> list[bytes]:
+        return self._ids([self._whole(cut) for cut in cuts])
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """The ids of words, many of which are encoded as one text. Its ids tell where each begins
+        or ends; if they tell of more parts than words, each word is encoded by itself."""
+        groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        texts = [self._whole(" ".join(group)) for group in groups]
+        out: list[bytes] = []
+        for group, found in zip(groups, self._ids(texts), strict=True):
+            ids = np.frombuffer(found, "<u4")
+            if self.spaced:
+                begins = np.flatnonzero(self.starts[ids])
+            else:
+                begins = np.append(0, np.flatnonzero(self.ends[ids])[:-1] + 1)
+            if len(begins) != len(group):
+                out += self._single(group)
+                continue
+            at = [*(4 * begins).tolist(), len(found)]
+            out += [found[first:end] for first, end in zip(at, at[1:])]
+        return out
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -150,9 +162,12 @@ class Encoder:
         missing = set(chain.from_iterable(c for c in cuts if c)).difference(self.memo)
         if missing:
             if len(self.memo) > MEMO_ENTRIES:
-                self.memo = {"": b""}
-                missing = set(chain.from_iterable(c for c in cuts if c)) - {""}
-            self._fresh(list(missing))
+                # What is in use comes over from the older generation as it is met.
+                self.old, self.memo = self.memo, {}
+                missing = set(chain.from_iterable(c for c in cuts if c))
+            again = missing & self.old.keys()
+            self.memo.update((cut, self.old[cut]) for cut in again)
+            self._fresh(list(missing - again))
         known = self.memo.__getitem__
         out = [
             self._ids([text])[0] if cut is None else b"".join(map(known, cut))
