@@ -108,6 +108,9 @@ class Encoder:
                 rest.add(cut)
                 continue
             head, tail = match.groups()
+            if tail and not self._plain(head):
+                rest.add(cut)
+                continue
             if tail:
                 tail = _MARK + tail
                 parted.append((cut, head, tail))
@@ -120,6 +123,12 @@ class Encoder:
             memo.update(zip(listed, encode(listed), strict=True))
         memo.update((cut, memo[head] + memo[tail]) for cut, head, tail in parted)
 
+    def _plain(self, head: str) -> bool:
+        """Whether a word is letters only in its normal form, so that nothing of it joins what
+        follows."""
+        normalizer = self.tokenizer.normalizer
+        return head.isascii() or normalizer is None or normalizer.normalize_str(head).isalpha()
+
     def _single(self, cuts: list[str]) -> list[bytes]:
         return self._ids([self._whole(cut) for cut in cuts])
 
