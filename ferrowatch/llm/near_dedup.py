@@ -224,6 +224,15 @@ def _across(
     return grouped.applyInArrow(compare, "a binary, b binary")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each larger node a of the edges (a, b) has one edge and none is the smaller of another."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(
+        edges.select("b", F.lit(0), F.lit(1))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return nodes.where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b): root is the smallest node reachable.
 
@@ -232,12 +241,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     larger = F.greatest("a", "b").alias("a")
     edges = stage(edges.where("a <> b").select(larger, F.least("a", "b").alias("b")).distinct(), "cc_edges")
-    before = None
-    while True:
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state == before:
-            break
-        before = state
+    while not _stars(edges):
         # Large star: every larger neighbour is tied to the smallest node around.
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
