@@ -66,13 +66,12 @@ SELECT CAST(l_partkey AS INT) AS equipment_id,
        WHEN g * 7 % 10 < 6 THEN 'None' WHEN g * 7 % 10 = 6 THEN 'Bearings'
        WHEN g * 7 % 10 = 7 THEN 'Seals' WHEN g * 7 % 10 = 8 THEN 'Filters' ELSE 'Motor' END AS parts_replaced,
   CASE WHEN g % 20 < 16 THEN 'Successful' WHEN g % 20 < 19 THEN 'Partial' ELSE 'Failed' END AS maintenance_result
-FROM (SELECT l_partkey, l_shipdate, min(l_orderkey) AS g FROM {lineitem}
-      WHERE (l_orderkey * 5 + l_linenumber) % 6 = 0 GROUP BY l_partkey, l_shipdate)
+FROM (SELECT l_partkey, l_shipdate, min(l_orderkey) AS g FROM {lineitem} GROUP BY l_partkey, l_shipdate)
 """
 
 OPERATIONAL_SQL = """
 SELECT CAST(l_partkey AS INT) AS equipment_id,
-  l_shipdate AS log_time,
+  l_shipdate + CASE WHEN g % 17 = 0 THEN 1 ELSE 0 END * INTERVAL '1' DAY AS log_time,
   CAST(CASE WHEN g % 211 = 0 THEN 120 ELSE 80 + g % 21 END AS DOUBLE) AS production_rate,
   CAST(CASE WHEN g % 311 = 0 THEN 0 WHEN g % 307 = 0 THEN -1 ELSE 20 + g % 5 END AS DOUBLE) AS operating_hours,
   CAST(CASE WHEN g % 311 = 0 THEN 0 WHEN g % 317 = 0 THEN -2 ELSE g * 3 % 5 END AS DOUBLE) AS downtime_hours,
@@ -84,7 +83,6 @@ SELECT CAST(l_partkey AS INT) AS equipment_id,
   CAST(CASE WHEN g % 349 = 0 THEN 60 ELSE 12 + g % 30 END AS DOUBLE) AS ambient_temperature,
   CAST(CASE WHEN g % 353 = 0 THEN 101 ELSE 30 + g % 41 END AS DOUBLE) AS ambient_humidity
 FROM (SELECT l_partkey, l_shipdate, min(l_orderkey) AS g FROM {lineitem} GROUP BY l_partkey, l_shipdate)
-WHERE g % 17 <> 0
 """
 
 
