@@ -38,8 +38,8 @@ def dataset_overview(df: DataFrame) -> DataFrame:
 
 
 def dataset_sample(df: DataFrame, n: int = 5) -> DataFrame:
-    """Any n rows."""
-    return df.limit(n)
+    """The first n rows in the order of all columns, NULL first."""
+    return df.orderBy(*df.columns).limit(n)
 
 
 def summary_stats(df: DataFrame) -> DataFrame:

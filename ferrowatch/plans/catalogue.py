@@ -61,6 +61,9 @@ def _sources() -> dict[str, Callable[[DomainTables], DataFrame]]:
         "csv_inferred_scan": lambda t: _csv(t.maintenance),
         "csv_typed_scan": lambda t: _csv(t.maintenance, schema=schemas.MAINTENANCE),
         "csv_text_cast": _csv_text_cast,
+        "csv_featured_scan": lambda t: _csv_stage(t, chain.featured, schemas.FEATURED),
+        "csv_alerted_scan": lambda t: _csv_stage(t, chain.alerted, schemas.ALERTED),
+        "csv_scored_scan": lambda t: _csv_stage(t, chain.scored, schemas.SCORED),
         "parquet_scan": lambda t: stage(t.equipment, "equipment"),
     }
 
@@ -71,10 +74,16 @@ def _csv(df: DataFrame, **options) -> DataFrame:
     return read_table(df.sparkSession, path, **options)
 
 
+def _csv_stage(t: DomainTables, stage_of: Callable[[DomainTables], DataFrame], schema: T.StructType) -> DataFrame:
+    """A stage table written as CSV and read by position."""
+    return _csv(stage_of(t).select(*schema.names), schema=schema)
+
+
 def _csv_text_cast(t: DomainTables) -> DataFrame:
-    """The alert model's columns among the raw readings, read as text and cast."""
-    types = {name: kind for name, kind in alert_feature_types().items() if name in schemas.READING_COLUMNS}
-    return cast_columns(_csv(t.sensor, infer=False), types).select("equipment_id", *types)
+    """All columns of the alert model in the graded readings, read as text and cast."""
+    types = alert_feature_types()
+    graded = _csv(chain.alerted(t).select(*schemas.ALERTED.names), infer=False)
+    return cast_columns(graded, types).select("equipment_id", *types)
 
 
 def _checks() -> dict[str, Callable[[DomainTables], DataFrame]]:
@@ -132,8 +141,16 @@ def _checks() -> dict[str, Callable[[DomainTables], DataFrame]]:
         "future_totals": lambda t: logs.future_totals(t.maintenance, AS_OF),
         "null_counts": lambda t: general.null_counts(t.maintenance),
         "null_counts_sensor": lambda t: general.null_counts(t.sensor),
+        "null_counts_equipment": lambda t: general.null_counts(t.equipment),
+        "null_counts_operational": lambda t: general.null_counts(t.operational),
         "duplicate_counts": lambda t: general.duplicate_counts(t.sensor),
+        "duplicate_counts_maintenance": lambda t: general.duplicate_counts(t.maintenance),
+        "duplicate_counts_equipment": lambda t: general.duplicate_counts(t.equipment),
+        "duplicate_counts_operational": lambda t: general.duplicate_counts(t.operational),
         "unique_ids": lambda t: general.unique_equipment_ids(t.sensor),
+        "unique_ids_maintenance": lambda t: general.unique_equipment_ids(t.maintenance),
+        "unique_ids_equipment": lambda t: general.unique_equipment_ids(t.equipment),
+        "unique_ids_operational": lambda t: general.unique_equipment_ids(t.operational),
         "id_consistency": lambda t: general.equipment_id_consistency(*_four(t)),
         "id_totals": lambda t: general.equipment_id_totals(*_four(t)),
     }
@@ -203,6 +220,9 @@ def _preparation() -> dict[str, Callable[[DomainTables], DataFrame]]:
         "features": derived,
         "label_mapping": lambda t: encoding.label_mapping(chain.cleaned(t)),
         "label_encoded": encoded,
+        "label_encoded_featured": lambda t: chain.featured(t).select(
+            *KEY, *schemas.ENCODED_CATEGORIES, *[f"{name}_encoded" for name in schemas.ENCODED_CATEGORIES]
+        ),
         "negative_age_rows": lambda t: features.negative_age_rows(aged(t)).select(*KEY, "equipment_age_days"),
         "negative_age_sample": lambda t: features.negative_age_sample(aged(t)),
         "negative_age_summary": lambda t: features.negative_age_summary(aged(t)),

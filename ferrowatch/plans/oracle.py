@@ -229,21 +229,25 @@ def _frequency_ranks(source: str, columns, null_is_value: bool) -> str:
     )
 
 
-def _encoded() -> str:
+def _encoded(source: str, names) -> str:
+    """The named columns of the source, with the codes of its categories."""
     columns = schemas.ENCODED_CATEGORIES
-    ranks = _frequency_ranks("integrated", columns, null_is_value=False)
+    ranks = _frequency_ranks(source, columns, null_is_value=False)
     maps = ", ".join(
         f"(SELECT MAP(LIST(value), LIST(CAST(pos - 1 AS DOUBLE))) AS codes, CAST(COUNT(*) AS DOUBLE) AS n "
         f"FROM ranks WHERE \"column\" = '{name}') AS m_{name}"
         for name in columns
     )
-    codes = ", ".join(
-        f'COALESCE(m_{name}.codes["{name}"], m_{name}.n) AS {name}_encoded' for name in columns
-    )
-    return (
-        f"WITH ranks AS ({ranks}) SELECT equipment_id, {shown('timestamp')}, {', '.join(columns)}, {codes} "
-        f"FROM integrated, {maps}"
-    )
+    codes = {
+        f"{name}_encoded": f'COALESCE(m_{name}.codes["{name}"], m_{name}.n) AS {name}_encoded' for name in columns
+    }
+    chosen = ", ".join(codes.get(name, shown(name, source)) for name in names)
+    return f"WITH ranks AS ({ranks}) SELECT {chosen} FROM {source}, {maps}"
+
+
+def _from_csv(source: str, names) -> str:
+    """A stage table with encoded categories, in which CSV has no empty text."""
+    return f"SELECT * REPLACE (NULLIF(parts_replaced, '') AS parts_replaced) FROM ({_encoded(source, names)})"
 
 
 def _missing(name: str) -> str:
@@ -460,9 +464,11 @@ def _check_queries() -> dict[str, str]:
         "fixture_operational": select(schemas.OPERATIONAL.names, "operational"),
         "csv_inferred_scan": f"SELECT {csv_logs} FROM maintenance",
         "csv_typed_scan": f"SELECT {csv_logs} FROM maintenance",
-        "csv_text_cast": "SELECT CAST(equipment_id AS VARCHAR) AS equipment_id, "
-        + ", ".join(shown(n) for n in schemas.READING_COLUMNS)
-        + " FROM sensor",
+        "csv_text_cast": "SELECT * REPLACE (CAST(equipment_id AS VARCHAR) AS equipment_id) FROM "
+        f"({_encoded('alerted', ['equipment_id', *schemas.ALERT_FEATURES])})",
+        "csv_featured_scan": _from_csv("features", schemas.FEATURED.names),
+        "csv_alerted_scan": _from_csv("alerted", schemas.ALERTED.names),
+        "csv_scored_scan": _from_csv("scored", schemas.SCORED.names),
         "parquet_scan": select(schemas.EQUIPMENT.names, "equipment"),
         "sensor_continuity": f"""
             SELECT strftime(MIN("timestamp"), {shape}) AS min_timestamp,
@@ -536,12 +542,24 @@ def _check_queries() -> dict[str, str]:
         "null_counts": _null_counts("maintenance", schemas.MAINTENANCE.names),
         "null_counts_sensor": _null_counts("sensor", schemas.SENSOR.names),
         "duplicate_counts": _duplicates("sensor"),
-        "unique_ids": "SELECT COUNT(*) AS unique_ids FROM (SELECT DISTINCT equipment_id FROM sensor)",
+        "null_counts_equipment": _null_counts("equipment", schemas.EQUIPMENT.names),
+        "null_counts_operational": _null_counts("operational", schemas.OPERATIONAL.names),
+        "duplicate_counts_maintenance": _duplicates("maintenance"),
+        "duplicate_counts_equipment": _duplicates("equipment"),
+        "duplicate_counts_operational": _duplicates("operational"),
+        "unique_ids": _unique_ids("sensor"),
+        "unique_ids_maintenance": _unique_ids("maintenance"),
+        "unique_ids_equipment": _unique_ids("equipment"),
+        "unique_ids_operational": _unique_ids("operational"),
         "id_consistency": f"SELECT equipment_id FROM ({all_ids}) a WHERE {absent}",
         "id_totals": f"SELECT COUNT(*) AS total_ids, {count(absent)} AS inconsistent_ids FROM ({all_ids}) a",
     }
 
 
+def _unique_ids(source: str) -> str:
+    return f"SELECT COUNT(*) AS unique_ids FROM (SELECT DISTINCT equipment_id FROM {source})"
+
+
 def _duplicates(source: str) -> str:
     return f"""
         SELECT total, "distinct", total - "distinct" AS duplicates
@@ -559,6 +577,9 @@ def _preparation_queries() -> dict[str, str]:
     before = '"timestamp" < installation_date'
     sample_columns = ["equipment_id", "timestamp", "installation_date", "equipment_age_days"]
     derived = [n for n in schemas.FEATURED.names if n not in INTEGRATED and not n.endswith("_encoded")]
+    encoded = ["equipment_id", "timestamp", *schemas.ENCODED_CATEGORIES]
+    encoded += [f"{name}_encoded" for name in schemas.ENCODED_CATEGORIES]
+    every = ", ".join(f'"{name}" NULLS FIRST' for name in INTEGRATED)
     per_machine = f'SELECT equipment_id, COUNT(*) AS count FROM integrated WHERE {before} GROUP BY equipment_id'
     return {
         "specs_join": f"SELECT {readings}, {', '.join(shown(n, 'e') for n in specs)} "
@@ -602,7 +623,9 @@ def _preparation_queries() -> dict[str, str]:
         "features": select(["equipment_id", "timestamp", "days_since_maintenance", *derived], "features"),
         "label_mapping": 'SELECT "column", CAST(pos - 1 AS INT) AS code, value AS label FROM '
         f"({_frequency_ranks('cleaned', schemas.ENCODED_CATEGORIES, null_is_value=False)})",
-        "label_encoded": _encoded(),
+        "label_encoded": _encoded("integrated", encoded),
+        "label_encoded_featured": _encoded("features", encoded),
+        "dataset_sample": select(INTEGRATED, f"(SELECT * FROM valid ORDER BY {every} LIMIT 5)"),
         "negative_age_rows": select(
             ["equipment_id", "timestamp", "equipment_age_days"], aged, "equipment_age_days < 0"
         ),
