@@ -152,10 +152,10 @@ def _links(compared: DataFrame, threshold: int) -> DataFrame:
 def _across(
     beside: DataFrame, groups: DataFrame, texts: DataFrame, width: int, threshold: int
 ) -> DataFrame:
-    """Links (a, b) of members of a pivot that are outside its component with its other members.
+    """Roots (a, b) of components that are linked by a member of a pivot outside the pivot's component.
 
     Both sides are dealt into blocks and each pair of blocks is compared in one call, which emits
-    links only, and only one from a member to each other component. A row travels once per block
+    a link once for each two components. A row travels once per block
     of the other side, so neither pairs nor whole groups are ever made.
     """
     placed = beside.join(groups.hint("merge"), "node", "left")
@@ -190,29 +190,23 @@ def _across(
         shingles, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(shingles, kind="stable")
         shingles, owner = shingles[order], owner[order]
-        nodes, roots = mine.column("node").to_pylist(), mine.column("root").to_pylist()
-        found: dict[tuple[bytes, bytes], bytes] = {}
+        roots = mine.column("root").to_pylist()
+        found: set[tuple[bytes, bytes]] = set()
         others = zip(
-            theirs.column("NODE").to_pylist(),
             theirs.column("ROOT").to_pylist(),
             shingle_sets(theirs.column("BODY").to_pylist(), width),
             strict=True,
         )
-        for node, root, own in others:
+        for root, own in others:
             low = np.searchsorted(shingles, own)
             runs = np.searchsorted(shingles, own, side="right") - low
             # The owners of all shingles that this set shares with the block.
             at = np.repeat(low - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
             both = np.bincount(owner[at], minlength=len(sets))
             close = 100 * both >= threshold * (sizes + len(own) - both)
-            for place in np.flatnonzero(close):
-                if roots[place] != root:
-                    found.setdefault((nodes[place], root), node)
+            found.update((roots[place], root) for place in np.flatnonzero(close) if roots[place] != root)
         return pa.table(
-            {
-                "a": pa.array([a for a, _ in found], pa.binary()),
-                "b": pa.array(list(found.values()), pa.binary()),
-            }
+            {name: pa.array([link[k] for link in found], pa.binary()) for k, name in enumerate("ab")}
         )
 
     keys = ["pivot", "far_block", "block"]
@@ -230,7 +224,7 @@ def _stars(edges: DataFrame) -> bool:
         edges.select("b", F.lit(0), F.lit(1))
     )
     nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
-    return nodes.where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
+    return nodes.agg(F.count_if(F.expr("up > 1 OR (up > 0 AND down > 0)")) == 0).first()[0]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -247,7 +241,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         least = least.select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(stage(least, "cc_least").hint("merge"), "a")
-        large = stage(large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "cc_large")
+        large = stage(large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), "cc_large")
         # Small star: a node and its smaller neighbours are tied to the smallest of them.
         least = stage(large.groupBy("a").agg(F.min("b").alias("m")), "cc_least")
         small = large.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -316,12 +310,13 @@ def near_groups(
     links = _links(stage(_compared(first, texts, width), "near_compared"), threshold)
     groups = stage(components(links), "near_groups")
     more = stage(_across(beside, groups, texts, width, threshold), "near_links")
-    if not more.isEmpty():
-        star = groups.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        groups = stage(components(star.unionAll(more)), "near_groups")
-
     rooted = nodes.select("node", "least_id").join(groups.hint("merge"), "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
+    if not more.isEmpty():
+        # Components that such links join take the smallest of their roots.
+        joint = stage(components(more).toDF("root", "joint"), "near_joint")
+        rooted = rooted.join(joint.hint("merge"), "root", "left")
+        rooted = rooted.withColumn("root", F.coalesce("joint", "root")).drop("joint")
     least = stage(rooted.groupBy("root").agg(F.min("least_id").alias("least")), "near_least")
     named = rooted.join(least.hint("merge"), "root").select("node", "least")
     joined = signed.drop("bands").join(stage(named, "near_named").hint("merge"), "node", "left")
