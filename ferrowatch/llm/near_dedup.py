@@ -35,7 +35,6 @@ KEPT_SETS = 64
 # Members, and shingles, of a block of a bucket's second comparison.
 BLOCK_NODES = 256
 BLOCK_SHINGLES = 1_000_000
-NO_ID = 2**63 - 1
 
 _generator = np.random.default_rng(20250101)
 _FACTORS = _generator.integers(0, 2**63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,11 +60,11 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, node, bands) of (doc_id, body); node is a digest of the set."""
+    """(uid, doc_id, n_shingles, node, bands) of (uid, doc_id, body); node is a digest of the set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("body").to_pylist()
+            texts = batch.column("body").to_pylist()
             sizes, nodes, bands, held = [], [], [], []
             step = 400
             for at in range(0, len(texts), step):
@@ -79,38 +78,19 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
                     bands.append(next(keys) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids,
+                    batch.column("uid"),
+                    batch.column("doc_id"),
                     pa.array(sizes, pa.int64()),
                     pa.array(nodes, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "node", "bands"],
+                names=["uid", "doc_id", "n_shingles", "node", "bands"],
             )
 
-    schema = "doc_id long, n_shingles long, node binary, bands array<long>"
+    schema = "uid long, doc_id long, n_shingles long, node binary, bands array<long>"
     return docs.mapInArrow(sign, schema)
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, body) of the wanted (doc_id, node); ids may repeat, so the set itself decides."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, nodes = batch.column("body").to_pylist(), batch.column("node").to_pylist()
-            sets = shingle_sets(texts, width)
-            rows = [
-                place
-                for place, own in enumerate(sets)
-                if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == nodes[place]
-            ]
-            yield batch.take(pa.array(rows, pa.int64())).select(["node", "body"])
-
-    same = docs["doc_id"].eqNullSafe(wanted["wanted_id"])
-    joined = docs.join(wanted.hint("merge"), same).select("node", "body")
-    found = joined.mapInArrow(keep, "node binary, body binary")
-    return found
-
-
 def _compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(a, b, both, n_a, n_b) of the pairs (a, b): sizes of the full sets and their intersection."""
 
@@ -251,32 +231,21 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_groups(
-    docs: DataFrame,
-    *,
-    width: int = WIDTH,
-    threshold: int = THRESHOLD,
-    doc_id: str = "doc_id",
-    text: str = "text",
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row per document.
+def _keyed(docs: DataFrame, columns: list, uid: str, name: str) -> DataFrame:
+    """The columns and a key of each row, written: the key stays what it is however often it is read."""
+    return stage(docs.select(*columns, F.monotonically_increasing_id().alias(uid)), name)
 
-    Two documents are linked if their sets of shingles of `width` words, A-Z in lower case, have a
-    Jaccard similarity of `threshold` percent or more; component_id is the smallest doc_id that
-    can be reached over links, and the document that has it is kept. Texts without words, and null
-    texts, have no shingles and no links. Ids are longs; rows that repeat an id keep a row each,
-    and a row with a null id is in the component of its text but is never the one that is kept,
-    unless all are null. Other columns are not read; an empty table stays empty.
-    """
-    rows = docs.select(
-        F.col(quoted(doc_id)).cast("long").alias("doc_id"), whole(text).cast("binary").alias("body")
-    )
+
+def _groups(rows: DataFrame, *, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
+    """(uid, doc_id, n_shingles, component_id, kept) of written (uid, doc_id, body)."""
     signed = stage(_signatures(rows, width), "near_signed")
+    # Null ids come last, so one is least only where all are null.
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")
     nodes = (
         signed.where("node IS NOT NULL")
         .groupBy("node")
         .agg(
-            F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least_id"),
+            F.min(place).alias("least"),
             F.first("n_shingles").cast("int").alias("n"),
             F.first("bands").alias("bands"),
         )
@@ -303,36 +272,59 @@ def near_groups(
     )
     # Texts of all that share a bucket; the second comparison asks for no others.
     wanted = nodes.join(beside.select("node").distinct().hint("merge"), "node").select(
-        F.when(F.col("least_id") != NO_ID, F.col("least_id")).alias("wanted_id"), "node"
+        F.col("least.uid").alias("uid"), "node"
     )
-    texts = _texts(rows, wanted, width).groupBy("node").agg(F.first("body").alias("body"))
-    texts = stage(texts, "near_texts")
+    texts = stage(rows.join(wanted.hint("merge"), "uid").select("node", "body"), "near_texts")
     links = _links(stage(_compared(first, texts, width), "near_compared"), threshold)
     groups = stage(components(links), "near_groups")
     more = stage(_across(beside, groups, texts, width, threshold), "near_links")
-    rooted = nodes.select("node", "least_id").join(groups.hint("merge"), "node", "left")
+    rooted = nodes.select("node", "least").join(groups.hint("merge"), "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     if not more.isEmpty():
         # Components that such links join take the smallest of their roots.
         joint = stage(components(more).toDF("root", "joint"), "near_joint")
         rooted = rooted.join(joint.hint("merge"), "root", "left")
         rooted = rooted.withColumn("root", F.coalesce("joint", "root")).drop("joint")
-    least = stage(rooted.groupBy("root").agg(F.min("least_id").alias("least")), "near_least")
-    named = rooted.join(least.hint("merge"), "root").select("node", "least")
+    least = stage(rooted.groupBy("root").agg(F.min("least").alias("keeper")), "near_least")
+    named = rooted.join(least.hint("merge"), "root").select("node", "keeper")
     joined = signed.drop("bands").join(stage(named, "near_named").hint("merge"), "node", "left")
-    component = F.coalesce(F.when(F.col("least") != NO_ID, F.col("least")), F.col("doc_id"))
     return joined.select(
-        F.col("doc_id").alias(doc_id),
+        "uid",
+        "doc_id",
         "n_shingles",
-        component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.coalesce("keeper.doc_id", "doc_id").alias("component_id"),
+        # A row without shingles is in no node and has no keeper but itself.
+        (F.coalesce("keeper.uid", "uid") == F.col("uid")).alias("kept"),
     )
 
 
+def near_groups(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): one row per document.
+
+    Two documents are linked if their sets of shingles of `width` words, A-Z in lower case, have a
+    Jaccard similarity of `threshold` percent or more; component_id is the smallest doc_id that
+    can be reached over links, and exactly one row of the component is kept: one that has that id.
+    Texts without words, and null texts, have no shingles and no links. Ids are longs; rows that
+    repeat an id keep a row each and are told apart by their place, and a row with a null id is in
+    the component of its text but is never the one that is kept, unless all are null; then one of
+    them is. Other columns are not read; an empty table stays empty.
+    """
+    columns = [F.col(quoted(doc_id)).cast("long").alias("doc_id"), whole(text).cast("binary").alias("body")]
+    groups = _groups(_keyed(docs, columns, "uid", "near_rows"), **options)
+    return groups.select(F.col("doc_id").alias(doc_id), "n_shingles", "component_id", "kept")
+
+
 def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that are kept, with the columns they came with."""
-    groups = near_groups(docs, doc_id=doc_id, text=text, **options)
-    (gone,) = spare(docs, "gone")
-    dropped = groups.where("NOT kept").select(F.col(doc_id).alias(gone))
-    same = F.col(quoted(doc_id)).cast("long").eqNullSafe(F.col(gone))
-    return docs.join(dropped.hint("merge"), same, "left_anti")
+    """The rows that are kept, one of each component, with the columns they came with."""
+    (uid,) = spare(docs, "uid")
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    keyed = _keyed(docs, columns, uid, "near_rows")
+    rows = keyed.select(
+        F.col(uid).alias("uid"),
+        F.col(quoted(doc_id)).cast("long").alias("doc_id"),
+        whole(text).cast("binary").alias("body"),
+    )
+    dropped = _groups(rows, **options).where("NOT kept").select(F.col("uid").alias(uid))
+    return keyed.join(dropped.hint("merge"), uid, "left_anti").select(*columns)

@@ -81,3 +81,25 @@ def test_near_dedup_empty_and_null_ids(docs_of):
     docs = docs_of([(None, "a b c d e f"), (3, "a b c d e f"), (4, "other words here")])
     assert near_dedup.near_groups(docs.limit(0)).count() == 0
     assert sorted(r.doc_id for r in near_dedup.near_dedup(docs).collect()) == [3, 4]
+
+
+def test_near_dedup_decides_by_row(docs_of):
+    alone = [(None, "quite other words in here"), (7, "a unique one with the id seven"), (None, None), (None, "")]
+    groups = [
+        [(None, "a b c d e f"), (3, "a b c d e f"), (7, "A b c d e f")],
+        [(None, "only null ids in this group"), (None, "only null ids IN this group"), (None, "Only null ids in this group")],
+        # Near but unequal texts under one smallest id.
+        [(9, " ".join(f"t{k}" for k in range(100))), (9, " ".join(f"t{k}" for k in range(1, 101))),
+         (12, " ".join(f"t{k}" for k in range(2, 102))), (None, " ".join(f"t{k}" for k in range(3, 103)))],
+        # The largest long is an id like others.
+        [(None, "one more text of six words"), (2**63 - 1, "one more text of six words")],
+    ]
+    docs = docs_of(alone + [row for group in groups for row in group])
+    kept = near_dedup.near_dedup(docs)
+    assert kept.columns == docs.columns
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(rows) == len(alone) + len(groups) and all(row in rows for row in alone)
+    assert [[i for i, t in rows if (i, t) in group] for group in groups] == [[3], [None], [9], [2**63 - 1]]
+    found = near_dedup.near_groups(docs).collect()
+    assert len(found) == docs.count() and sum(r.kept for r in found) == len(rows)
+    assert all(r.component_id == r.doc_id for r in found if r.kept)
