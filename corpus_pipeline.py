@@ -10,15 +10,18 @@ from ferrowatch.llm import exact_dedup as exact
 from ferrowatch.llm import language_id, mixing, near_dedup, packing
 from ferrowatch.sources.staging import stage
 
-# Texts whose language is less certain than this go, with those in which none is found.
+# Texts whose language is less certain than this go, with those in which no learned one is found.
 LEAST_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised, by a model of the labelled ones."""
+    """Documents in which a language is recognised, by a model of the labelled ones.
+
+    Text that is in none of the languages, or no language, goes: see language_id.is_spoken.
+    """
     model = language_id.fit(docs)
     predicted = language_id.predict(docs, model)
-    known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    known = language_id.is_spoken("text") & (F.col("score") >= LEAST_SCORE)
     return predicted.where(known).select(*docs.columns)
 
 

@@ -29,7 +29,11 @@ ORDER = 3
 # Bytes that are handled at once.
 BLOCK = 1 << 20
 UNKNOWN = "und"
-OUTPUT = ("lang_pred", "score")
+# Code lengths that still pass for a learned language: clean text takes 2 to 5 bits a byte, also
+# where it is two words long, and other languages, consonants or base64 take 11 to 24.
+RAW_BITS = 8.0
+SLACK_BITS = 32.0
+OUTPUT = ("lang_pred", "score", "bits_per_byte")
 
 
 def _classes() -> np.ndarray:
@@ -268,32 +272,49 @@ def fit(
     return build_model(languages, counts)
 
 
-def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """Add lang_pred and score, the winner's share of the probability of the text, from 0 to 1.
+def is_spoken(text: str) -> Column:
+    """Whether a predicted text is in its language at all, rather than in none that was learned.
+
+    Its code must not be longer than the text as it is, at RAW_BITS a byte. SLACK_BITS are free,
+    since a few bytes, a short word that was never seen, say too little. Digits and marks cost what a
+    space costs, so a text with few letters between them passes.
+    """
+    excess = (F.col("bits_per_byte") - RAW_BITS) * F.octet_length(quoted(text))
+    return (F.col("lang_pred") != UNKNOWN) & (excess <= SLACK_BITS)
 
-    A null text and one without a letter get `und` and 0, as does every text where the model knows
-    no language. Of languages with equal codes the first by name wins. Only the text is read;
-    columns of the input named lang_pred or score are replaced; rows are neither added nor lost.
+
+def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+    """Add lang_pred, score and bits_per_byte.
+
+    score is the winner's share of the probability of the text, from 0 to 1: it weighs the learned
+    languages against each other and is near 1 for any text of some words. bits_per_byte is the
+    length of the winner's code by the text's, and tells text of a learned language from other
+    text: see is_spoken. A null text and one without a letter get `und`, 0 and null, as does every text
+    where the model knows no language. Of languages with equal codes the first by name wins. Only the text is read;
+    columns of the input with these names are replaced; rows are neither added nor lost.
     """
     docs = without(docs, OUTPUT)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @F.arrow_udf("struct<lang_pred: string, score: double, bits_per_byte: double>")
     def judged(bodies: pa.Array) -> pa.Array:
         known = shared.value
         texts = bodies.to_pylist()
         asked = [place for place, body in enumerate(texts) if body is not None]
         names: list[str] = [UNKNOWN] * len(texts)
         scores = np.zeros(len(texts))
+        lengths: list[float | None] = [None] * len(texts)
         if asked and known.languages:
             bits = known.text_bits([texts[place] for place in asked])
             best = bits.argmin(axis=1)
             above = bits - bits[np.arange(len(best)), best][:, None]
             scores[asked] = 1 / np.exp2(-above).sum(axis=1)
-            for place, winner in zip(asked, best, strict=True):
+            for row, (place, winner) in enumerate(zip(asked, best, strict=True)):
                 names[place] = known.languages[winner]
+                lengths[place] = bits[row, winner] / len(texts[place])
         return pa.StructArray.from_arrays(
-            [pa.array(names, pa.string()), pa.array(scores)], names=list(OUTPUT)
+            [pa.array(names, pa.string()), pa.array(scores), pa.array(lengths, pa.float64())],
+            names=list(OUTPUT),
         )
 
     (found,) = spare(docs, "found")

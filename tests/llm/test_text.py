@@ -1,5 +1,6 @@
 """Language, URLs, secrets, chats, mixing and neighbours: SQL, brute force and held-out labels."""
 
+import base64
 import hashlib
 from collections import defaultdict
 
@@ -44,6 +45,22 @@ def test_language_of_awkward_texts(docs_of):
     assert language_id.predict(docs, language_id.fit(docs.limit(0))).first().lang_pred == "und"
 
 
+def test_language_stage_rejects_what_was_not_learned(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rng = np.random.default_rng(5)
+    consonants = "".join(rng.choice(list("bcdfghjklmnpqrstvwxz "), 300))
+    foreign = [consonants, "x9q zzkv " * 30, "Это обычный русский текст о погоде и городе. " * 3]
+    foreign += ["これは日本語の文章です。" * 4, "日本語です", base64.b64encode(rng.bytes(225)).decode(), "12 34 !?"]
+    spoken = [r.text.split() for r in docs.where("lang IS NOT NULL").orderBy("doc_id").collect() if r.text]
+    short = [" ".join(w[:n]) for w in spoken[:80] for n in (1, 2, 5) if any(c.isalpha() for c in " ".join(w[:n]))]
+    planted = [(-1 - k, text) for k, text in enumerate(foreign + short + ["ok", "Hi"])]
+    extra = spark.createDataFrame(planted, "doc_id long, text string")
+    given = docs.unionByName(extra, allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, given, small).collect()}
+    lettered = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert kept == lettered | {doc_id for doc_id, _ in planted[len(foreign) :]}
+
+
 def test_code_lengths_of_blocks_agree():
     model = language_id.build_model(["a"], [np.unique(language_id.grams([b"abracadabra"])[0], return_counts=True)])
     text = b"abra cadabra " * 200_000
