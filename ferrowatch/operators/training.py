@@ -79,6 +79,12 @@ def split(df: DataFrame, test_share: float = 0.2, seed: int = 42) -> tuple[DataF
     return df.filter(~is_test), df.filter(is_test)
 
 
+def checksum(df: DataFrame, job: Job) -> tuple:
+    """(rows, sum of their hashes) of a job's key, label and features: equal for equal rows."""
+    row_hash = F.xxhash64(*KEY, job.label, *job.features).cast("decimal(20,0)")
+    return tuple(df.agg(F.count("*"), F.sum(row_hash)).first())
+
+
 def train_classifier(
     train: DataFrame,
     labels: list[str],

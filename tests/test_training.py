@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrowatch.operators import training
+from ferrowatch.plans import catalogue
 
 START = datetime(2024, 1, 1)
 
@@ -114,3 +115,19 @@ def test_missing_feature_is_an_error(make):
     df = make([(1.0, None)], "x double, y double")
     with pytest.raises(Exception):
         training.assemble(df, ["x", "y"]).collect()
+
+
+def test_registered_need_is_trained_whole_and_once(spark, monkeypatch):
+    asked = []
+    booster = training.GBTClassifier
+
+    def short(**options):
+        asked.append((options["maxIter"], options["maxDepth"]))
+        return booster(**{**options, "maxIter": 1, "maxDepth": 2})
+
+    monkeypatch.setattr(training, "GBTClassifier", short)
+    # Models of this test stay out of other queries.
+    monkeypatch.setattr(catalogue, "_fitted", {}, raising=False)
+    for name in ("train_need", "confusion_need", "importance_need", "sample_need"):
+        assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert asked == [(100, 6)]
