@@ -15,11 +15,12 @@ from ferrowatch.llm import (
     near_dedup,
     neighbours,
     packing,
+    periodic,
     secret_scan,
     token_files,
     url_filter,
 )
-from ferrowatch.llm.common import whole
+from ferrowatch.llm.common import WORD, whole
 from ferrowatch.sources.staging import stage
 
 
@@ -131,6 +132,46 @@ def exact_dedup_query(spark: SparkSession, directory: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """The texts with a planted run in a tenth of them, chosen by a checksum of the id."""
+    digest = F.crc32(F.col("doc_id").cast("string"))
+    planted = F.when(digest % 10 == 0, F.regexp_extract_all(whole("text"), F.lit(WORD), 0))
+    rows = docs.select("doc_id", "text", planted.alias("words"), F.floor(digest / 10).alias("g"))
+    rows = rows.withColumn("n", F.size("words").cast("long"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    left = F.col("n") - F.col("a")
+    rows = rows.withColumn("p", (1 + F.floor(left / (3 + F.col("g") % 8))).cast("int"))
+    period = F.slice("words", F.col("a") + 1, F.col("p"))
+    repeated = F.flatten(F.array_repeat(period, F.ceil(left / F.col("p")).cast("int")))
+    changed = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(repeated, F.lit(1), left.cast("int")))
+    text = F.when(F.col("a").isNotNull(), F.array_join(changed, " ")).otherwise(F.col("text"))
+    return rows.select("doc_id", text.alias("text"))
+
+
+def periodic_query(spark: SparkSession, directory: str) -> DataFrame:
+    docs = with_repeats(table(spark, directory, "documents").select("doc_id", "text"))
+    found = periodic.collapse_runs(docs)
+    nothing = F.lit(None).cast("struct<start: long, length: long, period: long>")
+
+    def greater(best, run):
+        more = run["length"] * best["period"] > best["length"] * run["period"]
+        return F.when(best.isNull() | more, run).otherwise(best)
+
+    # Runs come by start, then period, so the first of equals stays.
+    best = found.withColumn("best", F.aggregate("runs", nothing, greater))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(line, lambda r: F.concat(r, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline_query(spark: SparkSession, directory: str) -> DataFrame:
     return corpus_pipeline.run(spark, directory)
 
@@ -147,6 +188,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat_query,
         "op9_secret_scan": secret_query,
         "op10_exact_dedup": exact_dedup_query,
+        "op13_periodic_runs": periodic_query,
         "pipeline": pipeline_query,
     }
 
