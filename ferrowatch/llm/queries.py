@@ -16,6 +16,7 @@ from ferrowatch.llm import (
     neighbours,
     packing,
     periodic,
+    quality,
     secret_scan,
     token_files,
     url_filter,
@@ -132,6 +133,13 @@ def exact_dedup_query(spark: SparkSession, directory: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def quality_query(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", language_id.held_out(F.col("doc_id")))
+    model = quality.fit(docs, table(spark, directory, "labels"), taught=~F.col("held_out"))
+    return quality.predict(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def with_repeats(docs: DataFrame) -> DataFrame:
     """The texts with a planted run in a tenth of them, chosen by a checksum of the id."""
     digest = F.crc32(F.col("doc_id").cast("string"))
@@ -188,6 +196,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat_query,
         "op9_secret_scan": secret_query,
         "op10_exact_dedup": exact_dedup_query,
+        "op12_quality": quality_query,
         "op13_periodic_runs": periodic_query,
         "pipeline": pipeline_query,
     }
