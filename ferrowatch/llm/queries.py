@@ -10,6 +10,7 @@ import public_tokenizers
 from ferrowatch.llm import (
     chat_format,
     exact_dedup,
+    hard_negatives,
     language_id,
     mixing,
     near_dedup,
@@ -133,6 +134,12 @@ def exact_dedup_query(spark: SparkSession, directory: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def hard_negatives_query(spark: SparkSession, directory: str) -> DataFrame:
+    vectors = table(spark, directory, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def quality_query(spark: SparkSession, directory: str) -> DataFrame:
     docs = table(spark, directory, "documents").select("doc_id", "text")
     docs = docs.withColumn("held_out", language_id.held_out(F.col("doc_id")))
@@ -196,6 +203,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat_query,
         "op9_secret_scan": secret_query,
         "op10_exact_dedup": exact_dedup_query,
+        "op11_hard_negatives": hard_negatives_query,
         "op12_quality": quality_query,
         "op13_periodic_runs": periodic_query,
         "pipeline": pipeline_query,
@@ -341,6 +349,31 @@ FROM texts
 """
 
 
+_OP11_SQL = """
+WITH whole AS (
+    SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike,
+           CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+    FROM whole a JOIN whole c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (
+           PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT alike AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can say in reasonable time; the other queries are held against brute
     force, an exact round trip or held-out labels in the tests."""
@@ -349,4 +382,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_chat_format": _OP8_SQL,
         "op9_secret_scan": _op9_sql(),
         "op10_exact_dedup": _OP10_SQL,
+        "op11_hard_negatives": _OP11_SQL,
     }
