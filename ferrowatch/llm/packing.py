@@ -101,28 +101,30 @@ def pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(tokenizer).encode
-        end = np.array([end_id], "<u4").tobytes()
-        width = 4 * capacity
         for batch in batches:
-            texts = [text or "" for text in batch.column("text").to_pylist()]
-            ids = [found + end for found in encode(texts)]
-            cuts = [
-                (row, at, found[at : at + width], len(found))
-                for row, found in enumerate(ids)
-                for at in range(0, len(found), width)
-            ]
-            columns = [
-                batch.column("doc_id").take(pa.array([c[0] for c in cuts], pa.int32())),
-                pa.array([c[1] // 4 for c in cuts], pa.int64()),
-                pa.array([len(c[2]) // 4 for c in cuts], pa.int64()),
-                pa.array([zlib.crc32(c[2]) for c in cuts], pa.int64()),
-                pa.array([c[3] // 4 for c in cuts], pa.int64()),
-            ]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            if keep_ids:
-                columns.append(pa.array([c[2] for c in cuts], pa.binary()))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            row = 0
+            for found in encode(batch.column("text")):
+                ids, sizes = tokens.with_end(*found, end_id)
+                number = -(-sizes // capacity)
+                doc = np.repeat(np.arange(len(sizes)), number)
+                at = capacity * (np.arange(len(doc)) - (np.cumsum(number) - number)[doc])
+                length = np.minimum(capacity, sizes[doc] - at)
+                stops = 4 * np.cumsum(length)
+                body = memoryview(ids).cast("B")
+                cuts = [body[stop - size : stop] for stop, size in zip(stops.tolist(), (4 * length).tolist())]
+                columns = [
+                    batch.column("doc_id").take(pa.array(row + doc)),
+                    pa.array(at),
+                    pa.array(length),
+                    pa.array([zlib.crc32(piece) for piece in cuts], pa.int64()),
+                    pa.array(sizes[doc]),
+                ]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                if keep_ids:
+                    columns.append(pa.array([bytes(piece) for piece in cuts], pa.binary()))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                row += len(sizes)
 
     rows = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -161,7 +161,8 @@ def write(
 
     Returns the manifest, written beside the files: (part, file, n_docs, n_tokens, last_id), a row per
     file, the files in order of their part. A null text is empty and has its end id only; null ids
-    come first; rows that repeat an id are written next to each other, in order of their texts.
+    come first; rows that repeat an id are written next to each other, in order of their texts' first 64
+    characters, then of a hash of them. Ids are integers, or are cast to long: others are an error.
     Other columns are not read. An empty table has no files.
     """
     spark = docs.sparkSession
@@ -175,16 +176,18 @@ def write(
         name = f"part-{part:06d}-{uuid.uuid4().hex}.zst"
         writer, last = None, None
         system.create_dir(base, recursive=True)
-        end = np.array([end_id], "<u4")
         stream = None
         for batch in batches:
             if stream is None and batch.num_rows:
                 stream = system.open_output_stream(f"{base}/{name}", compression=None)
                 writer = Writer(stream, width)
-            texts = [body or "" for body in batch.column("text").to_pylist()]
-            for row_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(texts), strict=True):
-                writer.add(row_id, np.concatenate([np.frombuffer(ids, "<u4"), end]))
-                last = row_id
+            rows = iter(batch.column("doc_id").to_pylist())
+            for found in coder.encode(batch.column("text")):
+                ids, sizes = tokens.with_end(*found, end_id)
+                stops = np.cumsum(sizes)
+                for first, stop in zip((stops - sizes).tolist(), stops.tolist(), strict=True):
+                    last = next(rows)
+                    writer.add(last, ids[first:stop])
         if writer is not None:
             writer.close()
             stream.close()
@@ -198,7 +201,10 @@ def write(
     rows = docs.select(
         F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text")
     )
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows that share an id are dealt by the beginning of their text, then by a hash of it, so that a
+    # hot id fills as many files as its different texts need.
+    order = ["doc_id", F.substring("text", 1, 64), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = "part long, file string, n_docs long, n_tokens long, last_id long"
     manifest = stage(ordered.mapInArrow(save, schema), "token_manifest")
     return manifest.withColumn("file", F.concat(F.lit(folder.rstrip("/") + "/"), "file"))
@@ -254,20 +260,24 @@ def read(manifest: DataFrame, *, keep_ids: bool = False) -> DataFrame:
 def fetch(manifest: DataFrame, wanted: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, ids) of the documents that `wanted` names, decompressing only their frames.
 
-    The last id of each file, one number per file, is broadcast and tells which file holds an id.
-    Ids that no document has give no row; a null id names none.
+    The last id of each file, one number per file, is broadcast and tells which files may hold an id:
+    one, or a run of them where rows share an id. Ids that no document has give no row; a null id
+    names none.
     """
     files = manifest.orderBy("part").select("file", "last_id").collect()
     names = [f["file"] for f in files]
     lasts = [f["last_id"] for f in files]
     shared = manifest.sparkSession.sparkContext.broadcast((names, lasts))
 
-    @F.arrow_udf("int")
-    def place(ids: pa.Array) -> pa.Array:
+    @F.arrow_udf("array<int>")
+    def places(ids: pa.Array) -> pa.Array:
         # A file of null ids only comes first and holds no id.
         _, ends = shared.value
         ends = np.array([np.iinfo(np.int64).min if e is None else e for e in ends], np.int64)
-        return pa.array(np.searchsorted(ends, ids.to_numpy(zero_copy_only=False)), pa.int32())
+        wanted = ids.to_numpy(zero_copy_only=False)
+        first, last = np.searchsorted(ends, wanted), np.searchsorted(ends, wanted, "right")
+        runs = [list(range(a, min(b + 1, len(ends)))) for a, b in zip(first.tolist(), last.tolist())]
+        return pa.array(runs, pa.list_(pa.int32()))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: tuple[int, Reader] | None = None
@@ -286,7 +296,7 @@ def fetch(manifest: DataFrame, wanted: DataFrame, *, doc_id: str = "doc_id") ->
             )
 
     asked = wanted.select(F.col(quoted(doc_id)).cast("long").alias("doc_id")).dropna().distinct()
-    located = asked.withColumn("number", place("doc_id")).where(F.col("number") < len(names))
+    located = asked.withColumn("number", F.explode(places("doc_id")))
     located = located.repartition("number").sortWithinPartitions("number", "doc_id")
     return located.mapInArrow(load, "doc_id long, ids binary")
 

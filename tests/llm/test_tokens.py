@@ -4,13 +4,14 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from ferrowatch.llm import packing, queries, token_files
+from ferrowatch.llm import packing, queries, token_files, tokens
 from ferrowatch.llm.tokens import encoder
 
 BYTE, WORD = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -21,11 +22,29 @@ TEXTS = [
 ]
 
 
+def encoded(path, texts):
+    """The ids of each text, from the blocks that the encoder gives."""
+    out = []
+    for ids, lengths in encoder(path).encode(pa.array(texts, pa.string())):
+        out += [part.tolist() for part in np.split(ids, np.cumsum(lengths)[:-1])]
+    return out
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_ids_are_the_tokenizers(path):
     plain = Tokenizer.from_file(path)
     expected = [plain.encode(text, add_special_tokens=False).ids for text in TEXTS]
-    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder(path).encode(TEXTS)] == expected
+    assert encoded(path, TEXTS) == expected
+    assert encoded(path, [None, "a b", None]) == encoded(path, ["", "a b", ""])
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_ids_over_blocks_and_when_words_are_forgotten(path, monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK", 300)
+    monkeypatch.setattr(tokens, "MEMO_ENTRIES", 5)
+    plain = Tokenizer.from_file(path)
+    texts = [f"{a} {b}" for a in TEXTS for b in TEXTS]
+    assert encoded(path, texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @settings(max_examples=200, deadline=None)
@@ -33,7 +52,7 @@ def test_ids_are_the_tokenizers(path):
 def test_ids_of_any_text(text):
     for path in (BYTE, WORD):
         expected = encoder(path).tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(encoder(path).encode([text])[0], "<u4").tolist() == expected
+        assert encoded(path, [text]) == [expected]
 
 
 def test_packing_places_every_id_once(spark, small):
