@@ -7,6 +7,10 @@ The escape of a context is its number of different followers (method C). The sta
 frozen after fitting, so the code length of a text is a sum over its bytes, and the language with
 the shortest code wins.
 
+The trees are over a folded alphabet: letters of ASCII in either case are one symbol, bytes beyond
+ASCII stand for themselves, and all other bytes (digits, marks, white space) are one symbol. A code
+length is the exact one of the text so folded.
+
 Fitting takes a sample of the labelled rows whose expected size per language is a parameter; its
 grams are counted where the rows are and only the summed counts, bounded by the sample, reach the
 driver. Prediction broadcasts the resulting tables and reads every byte of every text.
@@ -22,12 +26,13 @@ from pyspark.sql import functions as F
 
 from ferrowatch.llm.common import quoted, spare, whole, without
 
-# Expected labelled rows per language that a model is fitted on, and the most languages it tells apart.
+# Expected labelled rows per language that a model is fitted on, and the most languages it tells
+# apart: those with the most labelled rows, equally common ones by name.
 SAMPLE_ROWS = 2000
 MAX_LANGUAGES = 100
 ORDER = 3
-# Bytes that are handled at once.
-BLOCK = 1 << 20
+# Bytes that are handled at once: a few arrays of so many rows and a column per language are alive.
+BLOCK = 1 << 17
 UNKNOWN = "und"
 # Code lengths that still pass for a learned language: clean text takes 2 to 5 bits a byte, also
 # where it is two words long, and other languages, consonants or base64 take 11 to 24.
@@ -69,12 +74,14 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Table:
-    """Rows of numbers by key: one probe of a sparse slot table, then a search for the few left."""
+    """Rows of numbers by key: one probe of a slot table, then a search for the few left.
 
-    BITS = 22
+    The slot table is made on first use and has two to four slots a key.
+    """
 
     def __init__(self, keys: np.ndarray, rows: np.ndarray) -> None:
         self.keys, self.rows = keys, rows
+        self.bits = max(1, (2 * len(keys) - 1).bit_length())
         self.slots: np.ndarray | None = None
 
     def __getstate__(self) -> tuple:
@@ -88,7 +95,7 @@ class Table:
         if not len(self.keys):
             return np.full(len(wanted), -1, np.int32)
         if self.slots is None:
-            self.slots = np.full(1 << self.BITS, -1, np.int32)
+            self.slots = np.full(1 << self.bits, -1, np.int32)
             self.slots[self._slot(self.keys)] = np.arange(len(self.keys), dtype=np.int32)
         found = self.slots[self._slot(wanted)]
         other = np.flatnonzero((found >= 0) & (self.keys[found] != wanted))
@@ -99,7 +106,7 @@ class Table:
         return found
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint32(2654435761)) >> np.uint32(32 - self.BITS)
+        return (keys * np.uint32(2654435761)) >> np.uint32(32 - self.bits)
 
 
 @dataclass
@@ -124,9 +131,10 @@ class Model:
         if len(left) and order == 0:
             bits[left] = self.escapes[0].rows[0] + 8.0
         elif len(left):
-            shorter = self._bits(windows[left], order - 1)
-            context = self.escapes[order].find(windows[left] >> np.uint32(8))
-            known = context >= 0
+            windows = windows[left]
+            shorter = self._bits(windows, order - 1)
+            context = self.escapes[order].find(windows >> np.uint32(8))
+            known = np.flatnonzero(context >= 0)
             shorter[known] += self.escapes[order].rows[context[known]]
             bits[left] = shorter
         return bits
@@ -234,26 +242,25 @@ def fit(
     lang: str = "lang",
     sample_rows: int = SAMPLE_ROWS,
 ) -> Model:
-    """Fit on about sample_rows rows of each language, chosen by a hash of their ids.
+    """Fit on about sample_rows rows of each language, chosen by a hash of id, text and label.
 
-    Rows with a null text or label teach nothing. Without any labelled row the model knows no
-    language and predicts none.
+    Rows that share or lack an id are chosen one by one; rows equal in all three are one. Rows with
+    a null text or label teach nothing. Of more than MAX_LANGUAGES labels the most common are
+    learned. Without any labelled row the model knows no language and predicts none.
     """
     rows = labelled.select(
         F.col(quoted(doc_id)).alias("id"),
         F.col(quoted(lang)).cast("string").alias("lang"),
         F.col(quoted(text)).alias("text"),
     ).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
         return Model([], [], [])
-    share = F.pmod(F.xxhash64("id"), F.lit(2**40)) / F.lit(float(2**40))
+    share = F.pmod(F.xxhash64("id", "text", "lang"), F.lit(2**40)) / F.lit(float(2**40))
     chosen = F.lit(False)
     for size in sizes:
         chosen |= (F.col("lang") == size["lang"]) & (share < sample_rows / size["count"])
-    sample = rows.where(chosen).select("lang", F.col("text").cast("binary").alias("body"))
+    sample = rows.where(chosen).distinct().select("lang", F.col("text").cast("binary").alias("body"))
     summed = (
         sample.mapInArrow(_count, "lang string, gram long, n long")
         .groupBy("lang", "gram")
