@@ -3,17 +3,18 @@
 Labels are rules over the same features, so a high accuracy says little about the machines.
 """
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+import pyarrow as pa
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrowatch import schemas
 from ferrowatch.functions.expressions import safe_div
-from ferrowatch.sources.staging import ensure_checkpoint_dir, new_path
+from ferrowatch.operators import encoding
+from ferrowatch.operators.boosting import Forest, Node, boost
 
 KEY = ["equipment_id", "timestamp"]
 
@@ -35,17 +36,20 @@ JOBS = {
 }
 
 
+NODE_SCHEMA = "round int, klass int, node int, depth int, feature int, split double, left int, right int, value double"
+
+
 @dataclass(frozen=True)
 class BoostedClassifier:
-    """One model for two classes, else one per class against the rest.
-
-    MLlib boosts two classes only. Its OneVsRest would predict through row-at-a-time Python
-    functions; here the members' probabilities are combined by column expressions.
-    """
+    """Labels by code, features by number, and the node table of one tree per round and class."""
 
     labels: list[str]
     features: list[str]
-    members: list[GBTClassificationModel]
+    nodes: list[Node]
+
+    def node_table(self, spark: SparkSession) -> DataFrame:
+        """The nodes as rows; their number is bounded by rounds, classes and depth."""
+        return spark.createDataFrame([tuple(asdict(node).values()) for node in self.nodes], NODE_SCHEMA)
 
 
 def maintenance_encoded(df: DataFrame) -> DataFrame:
@@ -66,17 +70,45 @@ def assemble(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="error").transform(df)
 
 
+def label_codes(df: DataFrame, name: str) -> DataFrame:
+    """(code, label): the labels of a column by falling frequency, ties by label."""
+    return encoding.label_mapping(df.select(name), [name]).select("code", "label")
+
+
 def index_label(df: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
-    """Add `label`, the code of the text label by falling frequency; also the labels in code order."""
-    model = StringIndexer(inputCol=name, outputCol="label").fit(df)
-    return model.transform(df), list(model.labels)
+    """Add `label`, the code of the text label by falling frequency; also the labels in code order.
+
+    The labels are the classes of a model, so they are few. Rows without a label are left out.
+    """
+    labels = [row["label"] for row in label_codes(df, name).orderBy("code").collect()]
+    code = F.array_position(F.array(*map(F.lit, labels)), F.col(name)) - 1 if labels else F.lit(0)
+    return df.filter(F.col(name).isNotNull()).withColumn("label", code.cast("double")), labels
+
+
+def split_bucket(seed: int) -> Column:
+    """A number from 0 to 999 from the row's key: the first 28 bits of an MD5 digest.
+
+    Any engine can repeat it: the digest is of machine, time and seed as text.
+    """
+    time = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")
+    parts = [F.coalesce(F.col("equipment_id").cast("string"), F.lit("")), F.coalesce(time, F.lit(""))]
+    digest = F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") % 1000
+
+
+def is_test(test_share: float = 0.2, seed: int = 42) -> Column:
+    return split_bucket(seed) < round(test_share * 1000)
 
 
 def split(df: DataFrame, test_share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, test) by a hash of the key: the same rows however the frame is partitioned."""
-    bucket = F.pmod(F.xxhash64(*KEY, F.lit(seed)), F.lit(1000))
-    is_test = bucket < round(test_share * 1000)
-    return df.filter(~is_test), df.filter(is_test)
+    """(train, test) by a digest of the key: the same rows however the frame is partitioned."""
+    return df.filter(~is_test(test_share, seed)), df.filter(is_test(test_share, seed))
+
+
+def split_sizes(df: DataFrame, name: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
+    """(label, train, test): the rows of each label on either side of the split."""
+    side = df.select(F.col(name).alias("label"), is_test(test_share, seed).alias("test"))
+    return side.groupBy("label").agg(F.count_if(~F.col("test")).alias("train"), F.count_if("test").alias("test"))
 
 
 def checksum(df: DataFrame, job: Job) -> tuple:
@@ -92,51 +124,80 @@ def train_classifier(
     rounds: int = 100,
     depth: int = 6,
     step: float = 0.3,
-    seed: int = 42,
 ) -> BoostedClassifier:
-    """Boost on `features` and `label`; the lineage is cut every ten rounds in the shared folder."""
-    ensure_checkpoint_dir(train.sparkSession)
-    booster = GBTClassifier(
-        featuresCol="features",
-        labelCol="is_class",
-        maxIter=rounds,
-        maxDepth=depth,
-        stepSize=step,
-        seed=seed,
-        checkpointInterval=10,
-        cacheNodeIds=True,
-    )
-    codes = [1] if len(labels) == 2 else range(len(labels))
-    members = [
-        booster.fit(train.select("features", (F.col("label") == code).cast("double").alias("is_class")))
-        for code in codes
-    ]
-    return BoostedClassifier(labels, features, members)
+    """Boost on the vector `features` and the code `label`, all classes at once; see boosting."""
+    rows = train.select("label", vector_to_array("features").alias("x"))
+    return BoostedClassifier(labels, features, boost(rows, len(labels), len(features), rounds, depth, step))
 
 
 def predict(model: BoostedClassifier, df: DataFrame) -> DataFrame:
-    """Add probabilities (by label code), prediction (the likeliest code) and predicted_label."""
-    scored = df
-    for i, member in enumerate(model.members):
-        member = member.copy()
-        member.setRawPredictionCol("").setPredictionCol("").setProbabilityCol(f"_member_{i}")
-        scored = member.transform(scored)
-    chances = [vector_to_array(F.col(f"_member_{i}"))[1] for i in range(len(model.members))]
-    if len(model.labels) == 2:
-        probabilities = [1 - chances[0], chances[0]]
-    else:
-        total = sum(chances[1:], chances[0])
-        probabilities = [safe_div(chance, total) for chance in chances]
-    scored = scored.select(*df.columns, F.array(*probabilities).alias("probabilities"))
+    """Add probabilities (by label code), prediction (the likeliest code) and predicted_label.
+
+    Of equally likely classes the first by code is predicted. The node table, whose size is the
+    model's, goes to the tasks.
+    """
+    forest = df.sparkSession.sparkContext.broadcast(Forest(model.nodes, len(model.labels)))
+
+    @F.arrow_udf("array<double>")
+    def chances(vectors: pa.Array) -> pa.Array:
+        known = forest.value
+        flat = vectors.flatten().to_numpy(zero_copy_only=False)
+        found = known.probabilities(flat.reshape(len(vectors), -1))
+        offsets = pa.array(range(0, found.size + 1, known.n_classes), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))
+
+    scored = df.withColumn("probabilities", chances(vector_to_array("features")))
+    return _with_prediction(scored, model.labels)
+
+
+def _with_prediction(scored: DataFrame, labels: list[str]) -> DataFrame:
     position = F.array_position("probabilities", F.array_max("probabilities"))
     return scored.withColumns(
         {
             "prediction": (position - 1).cast("double"),
-            "predicted_label": F.element_at(F.array(*map(F.lit, model.labels)), position.cast("int")),
+            "predicted_label": F.element_at(F.array(*map(F.lit, labels)), position.cast("int")),
         }
     )
 
 
+def predict_by_nodes(
+    nodes: DataFrame, df: DataFrame, key: list[str], features: list[str], labels: list[str]
+) -> DataFrame:
+    """key, probabilities, prediction and predicted_label, by walking a node table with joins.
+
+    Each row starts at the root of every tree and goes down one level a join, until it is at a leaf;
+    the leaves' values are added up by row and class. Gives what predict gives, for any engine that
+    has joins; predict is the faster way. key must tell rows apart. A model without trees finds all
+    labels equally likely.
+    """
+    numbers = F.array(*[F.col(name).cast("double") for name in features])
+    size = nodes.agg(F.max("depth"), F.max("round")).first()
+    depth, rounds = (0, 0) if size[0] is None else (size[0], size[1] + 1)
+    trees = F.sequence(F.lit(0), F.lit(rounds * len(labels) - 1)) if rounds else F.array(F.lit(None).cast("int"))
+    at = df.select(*key, numbers.alias("x"), F.explode(trees).alias("tree")).select(
+        *key,
+        "x",
+        F.floor(F.col("tree") / len(labels)).cast("int").alias("round"),
+        (F.col("tree") % len(labels)).alias("klass"),
+        F.lit(0).alias("node"),
+    )
+    place = ["round", "klass", "node"]
+    at = at.join(nodes, place, "left")
+    kept = [*key, "x", "round", "klass"]
+    for _ in range(depth):
+        low = F.element_at("x", F.greatest(F.col("feature"), F.lit(0)) + 1) <= F.col("split")
+        child = F.when(low, F.col("left")).otherwise(F.col("right"))
+        at = at.select(*kept, F.when(F.col("feature") < 0, F.col("node")).otherwise(child).alias("node"))
+        at = at.join(nodes, place, "left")
+    at = at.select(*key, F.col("klass").alias("at_klass"), F.col("value").alias("at_value"))
+    sums = [F.sum(F.when(F.col("at_klass") == k, F.col("at_value"))) for k in range(len(labels))]
+    margins = at.groupBy(*key).agg(F.array(*[F.coalesce(total, F.lit(0.0)) for total in sums]).alias("margins"))
+    powers = margins.withColumn("powers", F.transform("margins", lambda m: F.exp(m - F.array_max("margins"))))
+    total = F.aggregate("powers", F.lit(0.0), lambda a, b: a + b)
+    chances = powers.withColumn("total", total).withColumn("probabilities", F.transform("powers", lambda p: p / F.col("total")))
+    return _with_prediction(chances.select(*key, "probabilities"), labels)
+
+
 def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(label, prediction, count), the codes as text."""
     return df.groupBy(
@@ -216,34 +277,25 @@ def _averages(measured: DataFrame) -> DataFrame:
 
 
 def save_model(model: BoostedClassifier, spark: SparkSession, path: str) -> None:
-    """Overwrite the model at a path; the members in MLlib's format, labels and features beside them."""
-    spark.createDataFrame(
-        [(model.labels, model.features, len(model.members))],
-        "labels array<string>, features array<string>, members int",
-    ).write.mode("overwrite").parquet(f"{path}/description")
-    for i, member in enumerate(model.members):
-        member.write().overwrite().save(f"{path}/member-{i}")
+    """Overwrite the model at a path: its node table, and labels and features beside it."""
+    about = [(model.labels, model.features)]
+    about = spark.createDataFrame(about, "labels array<string>, features array<string>")
+    about.write.mode("overwrite").parquet(f"{path}/description")
+    model.node_table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
 
 
 def load_model(spark: SparkSession, path: str) -> BoostedClassifier:
     about = spark.read.parquet(f"{path}/description").first()
-    members = [GBTClassificationModel.load(f"{path}/member-{i}") for i in range(about["members"])]
-    return BoostedClassifier(list(about["labels"]), list(about["features"]), members)
+    rows = spark.read.parquet(f"{path}/nodes").orderBy("round", "klass", "node").collect()
+    return BoostedClassifier(list(about["labels"]), list(about["features"]), [Node(*row) for row in rows])
 
 
 def feature_importance(model: BoostedClassifier, spark: SparkSession, top: int = 10) -> DataFrame:
-    """(feature, splits): the features most often split on, counted in the saved node tables."""
-    path = new_path(spark, "importance")
-    save_model(model, spark, path)
-    nodes = spark.read.parquet(*[f"{path}/member-{i}/data" for i in range(len(model.members))])
+    """(feature, splits): the features most often split on, counted in the node table."""
     names = F.array(*map(F.lit, model.features))
-    return (
-        nodes.filter(F.col("nodeData.leftChild") >= 0)
-        .groupBy(F.element_at(names, F.col("nodeData.split.featureIndex") + 1).alias("feature"))
-        .agg(F.count("*").alias("splits"))
-        .orderBy(F.desc("splits"), "feature")
-        .limit(top)
-    )
+    inner = model.node_table(spark).filter(F.col("feature") >= 0)
+    counts = inner.groupBy(F.element_at(names, F.col("feature") + 1).alias("feature")).agg(F.count("*").alias("splits"))
+    return counts.orderBy(F.desc("splits"), "feature").limit(top)
 
 
 def score_sample(model: BoostedClassifier, df: DataFrame, key: dict) -> DataFrame:

@@ -6,6 +6,7 @@ places, times and dates as text, decimals as doubles.
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,7 @@ from ferrowatch.operators import (
     sensor_quality,
     training,
 )
+from ferrowatch.operators.boosting import Node
 from ferrowatch.plans import chain
 from ferrowatch.sources.projections import AS_OF, DomainTables
 from ferrowatch.sources.staging import new_path, stage
@@ -236,39 +238,29 @@ def _preparation() -> dict[str, Callable[[DomainTables], DataFrame]]:
 
 
 def _grading() -> dict[str, Callable[[DomainTables], DataFrame]]:
-    def alerted(t):
-        return alerts.add_alerts(chain.engineered(t))
-
-    def graded(t):
-        # Grading needs the readings and their limits alone.
-        limits = ["max_temperature", "max_pressure", "max_rotational_speed"]
-        return alerts.add_alerts(
-            stage(chain.cleaned(t).select(*KEY, *schemas.READING_COLUMNS, *limits), "graded_readings")
-        )
-
     def inspection(item):
-        return lambda t: items.item_inspection(chain.itemised(t), item)
+        return lambda t: items.item_inspection(chain.assigned(t), item)
 
     score_columns = [name for name in schemas.SCORED.names if name not in schemas.ALERTED.names]
     return {
         "alert_limits": lambda t: alerts.alert_limits(chain.cleaned(t)),
-        "alerts": lambda t: alerted(t).select(*KEY, *schemas.ALERT_COLUMNS, "alert"),
-        "alert_percentages": lambda t: alerts.alert_percentages(graded(t)),
-        "detailed_alert_percentages": lambda t: alerts.detailed_alert_percentages(graded(t)),
-        "alert_sample": lambda t: alerts.alert_sample(graded(t)),
-        "criticality_cost": lambda t: recommend.criticality_avg_annual_cost(chain.engineered(t)),
-        "scores": lambda t: chain.scored(t).select(*KEY, "alert", *score_columns),
-        "score_distribution": lambda t: recommend.score_distribution(chain.scored(t)),
-        "maintenance_percentages": lambda t: recommend.maintenance_percentages(chain.scored(t)),
+        "alerts": lambda t: chain.graded(t).select(*KEY, *schemas.ALERT_COLUMNS, "alert"),
+        "alert_percentages": lambda t: alerts.alert_percentages(chain.graded(t)),
+        "detailed_alert_percentages": lambda t: alerts.detailed_alert_percentages(chain.graded(t)),
+        "alert_sample": lambda t: alerts.alert_sample(chain.graded(t)),
+        "criticality_cost": lambda t: recommend.criticality_avg_annual_cost(chain.scoring_readings(t)),
+        "scores": lambda t: chain.rated(t).select(*KEY, "alert", *score_columns),
+        "score_distribution": lambda t: recommend.score_distribution(chain.rated(t)),
+        "maintenance_percentages": lambda t: recommend.maintenance_percentages(chain.rated(t)),
         "stat_thresholds": lambda t: items.stat_thresholds(chain.cleaned(t)),
         "history_thresholds": lambda t: items.history_thresholds(chain.cleaned(t)),
         "item_thresholds": lambda t: items.item_thresholds(chain.cleaned(t)),
-        "items": lambda t: chain.itemised(t).select(
+        "items": lambda t: chain.assigned(t).select(
             *KEY, "parts_replaced", "total_score", "maintenance_needed", "maintenance_item"
         ),
-        "required_rows": lambda t: items.required_rows(chain.itemised(t)).select(*KEY, "maintenance_item"),
-        "item_percentages": lambda t: items.item_percentages(chain.itemised(t)),
-        "unassigned_items": lambda t: items.unassigned_count(chain.itemised(t)),
+        "required_rows": lambda t: items.required_rows(chain.assigned(t)).select(*KEY, "maintenance_item"),
+        "item_percentages": lambda t: items.item_percentages(chain.assigned(t)),
+        "unassigned_items": lambda t: items.unassigned_count(chain.assigned(t)),
         "motor_inspection": inspection("Motor"),
         "bearings_inspection": inspection("Bearings"),
         "seals_inspection": inspection("Seals"),
@@ -276,22 +268,42 @@ def _grading() -> dict[str, Callable[[DomainTables], DataFrame]]:
     }
 
 
+def given_nodes() -> list[Node]:
+    """The node table of a small model of the need for maintenance, as rows."""
+    return [Node(*row) for row in schemas.GIVEN_NODES]
+
+
 def _training() -> dict[str, Callable[[DomainTables], DataFrame]]:
-    def rated(t):
+    def by_rule(t):
         """The temperature status as a guess at the overall alert."""
-        return alerts.add_alerts(chain.engineered(t)).select("alert", "temperature_alert")
+        return chain.graded(t).select("alert", "temperature_alert")
 
-    def prepared(t, name):
+    def selected(t, name):
+        """Key, label and features of a job's rows."""
         job = training.JOBS[name]
-        frame = chain.itemised(t)
-        frame = items.required_rows(frame) if name == "item" else frame
-        frame = training.assemble(stage(training.select_features(frame, job), name), job.features)
+        if name == "alert":
+            frame = chain.alerted(t)
+        elif name == "need":
+            frame = chain.rated(t)
+        else:
+            # Codes of the whole table, like the features of the alert job.
+            names = ["maintenance_type"]
+            frame = encoding.label_encode(stage(chain.assigned(t), "assigned"), names)
+            frame = items.required_rows(frame)
+        return job, training.select_features(frame, job)
+
+    def prepared(t, name):
+        job, frame = selected(t, name)
+        frame = training.assemble(stage(frame, name), job.features)
         return (job, *training.index_label(frame, job.label))
 
     def fitted(t, name):
         job, frame, labels = prepared(t, name)
         train, test = training.split(frame)
         key = (t.spark.sparkContext.applicationId, name, *labels, *training.checksum(train, job))
+        # Models of earlier sessions are not kept.
+        for other in [other for other in _fitted if other[0] != key[0]]:
+            del _fitted[other]
         if key not in _fitted:
             _fitted[key] = training.train_classifier(train, labels, job.features)
         return job, _fitted[key], test
@@ -303,6 +315,17 @@ def _training() -> dict[str, Callable[[DomainTables], DataFrame]]:
 
         return run
 
+    def label_codes(name):
+        return lambda t: training.label_codes(selected(t, name)[1], training.JOBS[name].label)
+
+    def split_sizes(name):
+        return lambda t: training.split_sizes(selected(t, name)[1], training.JOBS[name].label)
+
+    def vectors_of_item(t):
+        job, frame = selected(t, "item")
+        vectors = training.assemble(frame, job.features).select(*KEY, vector_to_array("features").alias("x"))
+        return vectors.select(*KEY, F.posexplode("x").alias("place", "value"))
+
     def matrix_of_need(t):
         job, model, test = fitted(t, "need")
         predicted = training.predict(model, test)
@@ -312,6 +335,16 @@ def _training() -> dict[str, Callable[[DomainTables], DataFrame]]:
         job, model, _ = fitted(t, "need")
         return training.feature_importance(model, t.spark, job.top)
 
+    def importance_checks_of_need(t):
+        """Whether the counted splits are those of the tree's inner nodes, and all of job features."""
+        job, model, _ = fitted(t, "need")
+        counts = training.feature_importance(model, t.spark, len(job.features))
+        inner = F.lit(sum(node.feature >= 0 for node in model.nodes))
+        return counts.agg(
+            (F.sum("splits") == inner).alias("counts_all_splits"),
+            F.every(F.col("feature").isin(job.features)).alias("only_job_features"),
+        )
+
     def sample_of_need(t):
         _, model, test = fitted(t, "need")
         first = test.agg(F.min(F.struct(*KEY)).alias("key")).select("key.*").first()
@@ -319,17 +352,67 @@ def _training() -> dict[str, Callable[[DomainTables], DataFrame]]:
             "probabilities", F.array_join(F.transform("probabilities", lambda p: F.round(p, 6).cast("string")), " ")
         )
 
+    def differences(one, other):
+        """(rows, differences): rows of the first frame, and those of either that the other lacks."""
+        apart = one.exceptAll(other).unionAll(other.exceptAll(one))
+        return one.agg(F.count("*").alias("rows")).crossJoin(apart.agg(F.count("*").alias("differences")))
+
+    def saved_need(t):
+        """Predictions of the model after it was saved and loaded, against those before."""
+        _, model, test = fitted(t, "need")
+        path = new_path(t.spark, "model")
+        training.save_model(model, t.spark, path)
+        columns = [*KEY, "probabilities", "prediction", "predicted_label"]
+        before = training.predict(model, test).select(*columns)
+        return differences(before, training.predict(training.load_model(t.spark, path), test).select(*columns))
+
+    def walked_need(t):
+        """Predictions by joins with the node table against those by arrays."""
+        _, model, test = fitted(t, "need")
+        # Different rows may share machine and time.
+        test = stage(test.withColumn("row", F.monotonically_increasing_id()), "walked")
+        walked = training.predict_by_nodes(model.node_table(t.spark), test, ["row"], model.features, model.labels)
+        return differences(
+            training.predict(model, test).select("row", "predicted_label"), walked.select("row", "predicted_label")
+        )
+
+    def predicted_by_given_nodes(t):
+        job, frame = selected(t, "need")
+        rows = stage(frame.withColumn("row", F.monotonically_increasing_id()), "given")
+        nodes = training.BoostedClassifier(job.classes, job.features, given_nodes()).node_table(t.spark)
+        walked = training.predict_by_nodes(nodes, rows, ["row"], job.features, job.classes)
+        return rows.select("row", *KEY).join(walked, "row").select(
+            *KEY, F.col("probabilities")[0].alias("not_required"), F.col("probabilities")[1].alias("required"), "predicted_label"
+        )
+
     return {
-        "metrics_on_rule": lambda t: training.classification_report(rated(t), "alert", "temperature_alert"),
+        "metrics_on_rule": lambda t: training.classification_report(by_rule(t), "alert", "temperature_alert"),
         "confusion_on_rule": lambda t: training.confusion_matrix(
-            rated(t), schemas.ALERT_LEVELS, "alert", "temperature_alert"
+            by_rule(t), schemas.ALERT_LEVELS, "alert", "temperature_alert"
+        ),
+        "alert_features": lambda t: selected(t, "alert")[1],
+        "need_features": lambda t: selected(t, "need")[1],
+        "item_features": lambda t: selected(t, "item")[1],
+        "item_vectors": vectors_of_item,
+        "need_flags": lambda t: training.maintenance_encoded(chain.rated(t)).select(
+            *KEY, "maintenance_needed", "maintenance_encoded"
         ),
+        "alert_label_codes": lambda t: training.label_codes(chain.graded(t), "alert"),
+        "need_label_codes": label_codes("need"),
+        "item_label_codes": label_codes("item"),
+        "alert_split_sizes": lambda t: training.split_sizes(chain.graded(t), "alert"),
+        "need_split_sizes": split_sizes("need"),
+        "item_split_sizes": split_sizes("item"),
+        "predicted_by_given_nodes": predicted_by_given_nodes,
         "train_alert": report("alert"),
         "train_need": report("need"),
         "train_item": report("item"),
         "confusion_need": matrix_of_need,
         "importance_need": importance_of_need,
+        "importance_checks_need": importance_checks_of_need,
         "sample_need": sample_of_need,
+        "saved_need": saved_need,
+        "walked_need": walked_need,
     }
 
 

@@ -7,6 +7,7 @@ each pass then reads its few columns of that table instead of repeating every jo
 
 from pyspark.sql import DataFrame
 
+from ferrowatch import schemas
 from ferrowatch.operators import (
     alerts,
     encoding,
@@ -58,3 +59,54 @@ def itemised(tables) -> DataFrame:
     readings = featured(tables)
     graded = recommend.score_maintenance(alerts.add_alerts(readings))
     return items.assign_items(graded, thresholds_from=readings)
+
+
+# What grading reads; and what scores and items read besides.
+GRADING_COLUMNS = [
+    "equipment_id",
+    "timestamp",
+    *schemas.READING_COLUMNS,
+    "max_temperature",
+    "max_pressure",
+    "max_rotational_speed",
+]
+SCORING_COLUMNS = [
+    *GRADING_COLUMNS,
+    "installation_date",
+    "criticality",
+    "expected_lifetime_years",
+    "warranty_period_years",
+    "production_rate",
+    "operating_hours",
+    "downtime_hours",
+    "ambient_temperature",
+    "ambient_humidity",
+    "days_since_maintenance",
+    "cost",
+    "parts_replaced",
+    "maintenance_type",
+]
+
+
+def graded(tables) -> DataFrame:
+    """Alerts of the cleaned readings, from a stage of the columns that grading reads."""
+    return alerts.add_alerts(stage(cleaned(tables).select(*GRADING_COLUMNS), "graded_readings"))
+
+
+def scoring_readings(tables) -> DataFrame:
+    """Cleaned readings with the features that scores read, written; no categories are encoded."""
+    readings = stage(cleaned(tables).select(*SCORING_COLUMNS), "scoring_cleaned")
+    readings = features.abs_days_since_maintenance(features.equipment_age_days(readings))
+    return stage(features.cumulative_totals(readings), "scoring_readings")
+
+
+def rated(tables) -> DataFrame:
+    """Scores of the readings, without the columns that neither grading nor scores read."""
+    return recommend.score_maintenance(alerts.add_alerts(scoring_readings(tables)))
+
+
+def assigned(tables) -> DataFrame:
+    """Items of the readings, likewise."""
+    readings = scoring_readings(tables)
+    scores = recommend.score_maintenance(alerts.add_alerts(readings))
+    return items.assign_items(scores, thresholds_from=readings)

@@ -713,7 +713,84 @@ def _grading_queries() -> dict[str, str]:
     }
 
 
+def _codes(label: str, source: str, where: str = "TRUE") -> str:
+    return f"""
+        SELECT CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, {label}) - 1 AS INT) AS code, {label} AS label
+        FROM {source} WHERE {where} AND {label} IS NOT NULL GROUP BY {label}"""
+
+
+# The share of the rows that is held out, by the first 28 bits of a digest of the key.
+_IS_TEST = """
+    CAST('0x' || substr(md5(COALESCE(CAST(equipment_id AS VARCHAR), '') || '|'
+        || COALESCE(strftime("timestamp", '%Y-%m-%d %H:%M:%S'), '') || '|42'), 1, 7) AS BIGINT) % 1000 < 200"""
+
+
+def _split_sizes(label: str, source: str, where: str = "TRUE") -> str:
+    return f"""
+        SELECT {label} AS label, COUNT(*) FILTER (WHERE NOT ({_IS_TEST})) AS train,
+            COUNT(*) FILTER (WHERE {_IS_TEST}) AS test
+        FROM {source} WHERE {where} GROUP BY {label}"""
+
+
+def _given_nodes() -> str:
+    """Predictions of the model that is given as a node table, one join a level."""
+    rows = ", ".join(str(row) for row in schemas.GIVEN_NODES)
+    values = ", ".join(f'CAST("{name}" AS DOUBLE)' for name in schemas.NEED_FEATURES)
+    kept = "id, x, n.round, n.klass"
+    step = """
+        SELECT id, x, s.round, s.klass, CASE WHEN s.feature < 0 THEN s.node
+            WHEN x[greatest(s.feature, 0) + 1] <= s.split THEN s.l ELSE s.r END AS goes FROM {source} AS s"""
+    join = "SELECT {kept}, n.node, n.feature, n.split, n.l, n.r, n.value FROM ({step}) m JOIN nodes n " \
+        "ON m.round = n.round AND m.klass = n.klass AND m.goes = n.node"
+    return f"""
+        WITH nodes(round, klass, node, depth, feature, split, l, r, value) AS (VALUES {rows}),
+        numbered AS (SELECT ROW_NUMBER() OVER () AS id, equipment_id, "timestamp", [{values}] AS x FROM scored),
+        level0 AS (SELECT {kept}, n.node, n.feature, n.split, n.l, n.r, n.value
+                   FROM numbered JOIN nodes n ON n.node = 0),
+        level1 AS ({join.format(kept=kept, step=step.format(source='level0'))}),
+        level2 AS ({join.format(kept=kept, step=step.format(source='level1'))}),
+        margins AS (SELECT id, SUM(value) FILTER (WHERE klass = 0) AS a, SUM(value) FILTER (WHERE klass = 1) AS b
+                    FROM level2 GROUP BY id),
+        chances AS (SELECT id, EXP(a - GREATEST(a, b)) AS ea, EXP(b - GREATEST(a, b)) AS eb FROM margins)
+        SELECT equipment_id, {shown('timestamp')}, ROUND(ea / (ea + eb), 6) AS not_required,
+            ROUND(eb / (ea + eb), 6) AS required,
+            CASE WHEN eb > ea THEN '{schemas.REQUIRED}' ELSE '{schemas.NOT_REQUIRED}' END AS predicted_label
+        FROM chances JOIN numbered USING (id)"""
+
+
+def _training_queries() -> dict[str, str]:
+    key = ["equipment_id", "timestamp"]
+    required = f"maintenance_needed = '{schemas.REQUIRED}'"
+    flag = f"CASE WHEN {required} THEN 1 ELSE 0 END AS maintenance_encoded"
+    item_names = [*key, "maintenance_item", "maintenance_needed", *schemas.ITEM_FEATURES]
+    encoded = _encoded("itemised", [n for n in item_names if n != "maintenance_encoded"])
+    item_rows = f"SELECT * EXCLUDE (maintenance_needed), {flag} FROM ({encoded}) WHERE {required}"
+    values = union(
+        f'SELECT equipment_id, "timestamp", {place} AS place, ROUND(CAST("{name}" AS DOUBLE), 6) AS value FROM picked'
+        for place, name in enumerate(schemas.ITEM_FEATURES)
+    )
+    held_out = f"SELECT COUNT(*) AS rows, CAST(0 AS BIGINT) AS differences FROM scored WHERE {_IS_TEST}"
+    return {
+        "alert_features": _encoded("alerted", [*key, "alert", *schemas.ALERT_FEATURES]),
+        "need_features": select([*key, "maintenance_needed", *schemas.NEED_FEATURES], "scored"),
+        "item_features": item_rows,
+        "item_vectors": f"WITH picked AS ({item_rows}) {values}",
+        "need_flags": f"SELECT {', '.join(shown(n) for n in key)}, maintenance_needed, {flag} FROM scored",
+        "alert_label_codes": _codes("alert", "alerted"),
+        "need_label_codes": _codes("maintenance_needed", "scored"),
+        "item_label_codes": _codes("maintenance_item", "itemised", required),
+        "alert_split_sizes": _split_sizes("alert", "alerted"),
+        "need_split_sizes": _split_sizes("maintenance_needed", "scored"),
+        "item_split_sizes": _split_sizes("maintenance_item", "itemised", required),
+        "predicted_by_given_nodes": _given_nodes(),
+        # What holds of any trained model: counts of its splits, and equal predictions two ways.
+        "importance_checks_need": "SELECT TRUE AS counts_all_splits, TRUE AS only_job_features",
+        "saved_need": held_out,
+        "walked_need": held_out,
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     ctes = ", ".join(f"{name} AS ({body})" for name, body in _ctes().items())
-    bodies = {**_check_queries(), **_preparation_queries(), **_grading_queries()}
+    bodies = {**_check_queries(), **_preparation_queries(), **_grading_queries(), **_training_queries()}
     return {name: f"WITH {ctes} SELECT * FROM ({body})" for name, body in bodies.items()}

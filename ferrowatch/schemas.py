@@ -190,3 +190,22 @@ ITEM_FEATURES = _COMMON_FEATURES + [
     "maintenance_type_encoded",
 ]
 DAY_COUNT_FEATURES = ["days_since_maintenance", "equipment_age_days", "days_since_overhaul"]
+
+# A model of the need for maintenance given as a node table, with four trees of up to
+# two levels: round, class, node, depth, feature by number, split, left, right, value.
+GIVEN_NODES = [
+    (0, 0, 0, 0, 0, 70.0, 1, 2, 0.0),
+    (0, 0, 1, 1, -1, 0.0, -1, -1, 0.25),
+    (0, 0, 2, 1, 11, 2.0, 3, 4, 0.0),
+    (0, 0, 3, 2, -1, 0.0, -1, -1, -0.125),
+    (0, 0, 4, 2, -1, 0.0, -1, -1, -0.375),
+    (0, 1, 0, 0, 14, 180.0, 1, 2, 0.0),
+    (0, 1, 1, 1, -1, 0.0, -1, -1, -0.5),
+    (0, 1, 2, 1, -1, 0.0, -1, -1, 0.5),
+    (1, 0, 0, 0, -1, 0.0, -1, -1, 0.0625),
+    (1, 1, 0, 0, 18, 20000.0, 1, 2, 0.0),
+    (1, 1, 1, 1, 13, 50.0, 3, 4, 0.0),
+    (1, 1, 2, 1, -1, 0.0, -1, -1, 0.25),
+    (1, 1, 3, 2, -1, 0.0, -1, -1, -0.125),
+    (1, 1, 4, 2, -1, 0.0, -1, -1, 0.125),
+]

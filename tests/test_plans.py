@@ -1,12 +1,13 @@
 """Properties of the physical plans that matter at scale."""
 
+import inspect
 import re
 from pathlib import Path
 
 import pytest
 
-from ferrowatch.operators import alerts, features, integrate, items, sensor_quality
-from ferrowatch.plans import chain
+from ferrowatch.operators import alerts, encoding, features, integrate, items, sensor_quality
+from ferrowatch.plans import catalogue, chain
 from ferrowatch.sources import staging
 from ferrowatch.sources.projections import DomainTables
 from ferrowatch.sources.staging import stage
@@ -74,6 +75,33 @@ def test_thresholds_and_shares_of_alerts_join_nothing(cleaned):
     assert "Join" not in plan_of(alerts.alert_percentages(alerts.add_alerts(cleaned)))
 
 
+@pytest.mark.parametrize("name", ["metrics_on_rule", "confusion_on_rule", "alerts"])
+def test_grading_queries_join_nothing_and_read_few_columns(spark, name):
+    plan = plan_of(catalogue.queries()[name](spark, DIRECTORY))
+    assert "Join" not in plan
+    assert all("description" not in schema for schema in re.findall(r"ReadSchema: \S+", plan))
+
+
+@pytest.mark.parametrize("name", ["score_distribution", "item_percentages", "required_rows", "motor_inspection"])
+def test_scores_and_items_neither_encode_nor_carry_all_columns(spark, name, monkeypatch):
+    monkeypatch.setattr(encoding, "label_encode", None)
+    staged = []
+    monkeypatch.setattr(chain, "stage", lambda df, label: staged.append(len(df.columns)) or stage(df, label))
+    plan = plan_of(catalogue.queries()[name](spark, DIRECTORY))
+    assert max(staged) < 32 and "_encoded" not in plan
+
+
+def test_labels_are_ranked_without_a_window_over_a_column(cleaned, without_broadcast):
+    plan = plan_of(encoding.label_mapping(cleaned))
+    windows = re.findall(r"Window \[.*?\], \[(\w*)#?\d*", plan)
+    assert windows and "column" not in windows
+
+
+def test_no_label_comes_to_the_driver_for_encoding():
+    source = inspect.getsource(encoding) + inspect.getsource(catalogue)
+    assert "StringIndexer" not in source and "collect()" not in inspect.getsource(encoding)
+
+
 def test_release_deletes_what_was_staged(spark):
     staged = stage(spark.range(3), "released")
     assert staged.count() == 3

@@ -1,10 +1,11 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ferrowatch.operators import training
+from ferrowatch.operators import boosting, training
 from ferrowatch.plans import catalogue
 
 START = datetime(2024, 1, 1)
@@ -54,17 +55,90 @@ def test_predictions_are_the_likeliest_class(fitted):
     assert hits / len(predicted) > 0.9
 
 
-def test_two_classes_need_one_member(samples):
+def test_two_classes(samples):
     two = samples.withColumn("kind", F.when(F.col("x") < 0.4, "a").otherwise("b"))
     frame, labels = training.index_label(training.assemble(two, ["x", "y"]), "kind")
     model = training.train_classifier(frame, labels, ["x", "y"], rounds=2, depth=2)
-    assert len(model.members) == 1
+    assert {node.klass for node in model.nodes} == {0, 1}
     rows = training.predict(model, frame).select("kind", "predicted_label", "probabilities").collect()
     assert all(len(r["probabilities"]) == 2 and sum(r["probabilities"]) == pytest.approx(1) for r in rows)
     # Splits fall on bin borders, so a few rows next to the true border may miss.
     assert sum(r["kind"] == r["predicted_label"] for r in rows) > 0.97 * len(rows)
 
 
+def test_trees_do_not_depend_on_partitions(samples, monkeypatch):
+    frame, labels = training.index_label(training.assemble(samples, ["x", "y"]), "kind")
+    expected = training.train_classifier(frame, labels, ["x", "y"], rounds=4, depth=3).nodes
+    # Sums of many partitions are added up in tasks first, margins are written every round.
+    monkeypatch.setattr(boosting, "FAN_IN", 2)
+    monkeypatch.setattr(boosting, "ROUNDS_KEPT", 1)
+    monkeypatch.setattr(boosting, "CHUNK", 50)
+    monkeypatch.setattr(boosting, "borders", lambda df, n: [np.unique([node.split for node in expected])] * n)
+    many = training.train_classifier(frame.repartition(9), labels, ["x", "y"], rounds=4, depth=3).nodes
+    one = training.train_classifier(frame.coalesce(1), labels, ["x", "y"], rounds=4, depth=3).nodes
+    assert many == one and len(many) > 12
+
+
+def test_best_split_equals_brute_force():
+    random = np.random.default_rng(2)
+    for _ in range(50):
+        n, features = 40, 3
+        bins, first = random.integers(0, 5, (n, features)), random.integers(-8, 8, n) / 8
+        second = random.integers(1, 9, n) / 8
+        sums = np.zeros((features, boosting.BINS, 2))
+        for f in range(features):
+            np.add.at(sums[f, :, 0], bins[:, f], first)
+            np.add.at(sums[f, :, 1], bins[:, f], second)
+        best = (boosting.LEAST_GAIN, None)
+        worth = lambda own: first[own].sum() ** 2 / (second[own].sum() + 1)
+        for f in range(features):
+            for at in range(5):
+                left = bins[:, f] <= at
+                if min(second[left].sum(), second[~left].sum()) >= 1:
+                    gain = worth(left) + worth(~left) - worth(np.ones(n, bool))
+                    if gain > best[0] + 1e-12:
+                        best = (gain, (f, at))
+        found = boosting.best_split(sums)
+        assert (found and found[:2]) == best[1]
+
+
+def test_first_round_is_a_newton_step(samples):
+    frame, labels = training.index_label(training.assemble(samples, ["x", "y"]), "kind")
+    nodes = training.train_classifier(frame, labels, ["x", "y"], rounds=1, depth=1, step=0.5).nodes
+    rows = frame.select("label", "x").collect()
+    for k in range(3):
+        root = next(n for n in nodes if (n.klass, n.node) == (k, 0))
+        assert root.feature in (0, 1) and len([n for n in nodes if n.klass == k]) == 3
+        if root.feature == 0:
+            own = [r for r in rows if r["x"] <= root.split]
+            slope = sum(1 / 3 - (r["label"] == k) for r in own)
+            leaf = next(n for n in nodes if (n.klass, n.node) == (k, root.left))
+            assert leaf.value == pytest.approx(-0.5 * slope / (len(own) * 4 / 9 + 1), rel=1e-4)
+
+
+def test_walk_of_the_node_table_predicts_the_same(fitted, spark):
+    model, train, test = fitted
+    frame = train.unionByName(test)
+    walked = training.predict_by_nodes(
+        model.node_table(spark), frame, ["equipment_id", "timestamp"], model.features, model.labels
+    )
+    expected = {r["equipment_id"]: r for r in training.predict(model, frame).collect()}
+    rows = walked.collect()
+    assert len(rows) == len(expected) == 600
+    for row in rows:
+        own = expected[row["equipment_id"]]
+        assert row["probabilities"] == pytest.approx(own["probabilities"], abs=1e-12)
+        assert (row["prediction"], row["predicted_label"]) == (own["prediction"], own["predicted_label"])
+
+
+def test_split_sizes(samples):
+    sizes = {r["label"]: (r["train"], r["test"]) for r in training.split_sizes(samples, "kind").collect()}
+    train, test = training.split(samples)
+    for number, side in enumerate((train, test)):
+        counts = {r["kind"]: r["count"] for r in side.groupBy("kind").count().collect()}
+        assert {label: own[number] for label, own in sizes.items() if own[number]} == counts
+
+
 def test_one_class_is_certain(samples):
     one = samples.withColumn("kind", F.lit("only"))
     frame, labels = training.index_label(training.assemble(one, ["x", "y"]), "kind")
@@ -87,8 +161,7 @@ def test_importance_counts_splits(fitted, spark):
     model, _, _ = fitted
     found = training.feature_importance(model, spark, 5).collect()
     assert {r["feature"] for r in found} == {"x", "y"}
-    inner = sum(tree.numNodes // 2 for member in model.members for tree in member.trees)
-    assert sum(r["splits"] for r in found) == inner
+    assert sum(r["splits"] for r in found) == sum(node.feature >= 0 for node in model.nodes)
 
 
 def test_sample_by_key(fitted):
@@ -117,17 +190,18 @@ def test_missing_feature_is_an_error(make):
         training.assemble(df, ["x", "y"]).collect()
 
 
-def test_registered_need_is_trained_whole_and_once(spark, monkeypatch):
+def test_registered_models_are_trained_whole_and_once(spark, monkeypatch):
     asked = []
-    booster = training.GBTClassifier
 
-    def short(**options):
-        asked.append((options["maxIter"], options["maxDepth"]))
-        return booster(**{**options, "maxIter": 1, "maxDepth": 2})
+    def short(rows, n_classes, n_features, rounds, depth, step):
+        asked.append((n_classes, n_features, rounds, depth, step))
+        return boosting.boost(rows, n_classes, n_features, 1, 2, step)
 
-    monkeypatch.setattr(training, "GBTClassifier", short)
+    monkeypatch.setattr(training, "boost", short)
     # Models of this test stay out of other queries.
     monkeypatch.setattr(catalogue, "_fitted", {}, raising=False)
-    for name in ("train_need", "confusion_need", "importance_need", "sample_need"):
+    names = ("train_need", "confusion_need", "importance_need", "sample_need", "saved_need", "importance_checks_need")
+    for name in names:
         assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
-    assert asked == [(100, 6)]
+    assert catalogue.queries()["train_item"](spark, "/root/testdata/sf0.001").count() > 0
+    assert [a[2:] for a in asked] == [(100, 6, 0.3)] * 2
