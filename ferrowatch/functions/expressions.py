@@ -82,19 +82,24 @@ def value_counts(df: DataFrame, columns: list[str], label: str = "column") -> Da
 NUMBER_START = r"(?i)^[\s\p{Cntrl}]*[+-]?(\.?[0-9]|inf|nan)"
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """The column as a double; NULL for text that is no number."""
-    number = F.col(name).try_cast("double")
-    if isinstance(df.schema[name].dataType, T.StringType):
-        number = F.when(F.col(name).rlike(NUMBER_START), number)
-    return number
+def as_number(name: str) -> Column:
+    """A text as a double; NULL for text that is no number."""
+    return F.when(F.col(name).rlike(NUMBER_START), F.col(name).try_cast("double"))
 
 
-def long_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value double): one row per row and column.
+# Fields of aggregates side by side that Spark still compiles: one for a count, a minimum or a
+# maximum, two for a mean, three for a deviation.
+COMPILED_FIELDS = 90
 
-    Grouped by column this keeps the aggregate narrow enough for generated code; side by side,
-    means and deviations of a few dozen columns exceed what Spark compiles.
+
+def rows_per_column(df: DataFrame, label: str, columns: list[str], measures, fields: int) -> DataFrame:
+    """One row per column with its aggregates, which `measures` gives by name for a column's name.
+
+    A few dozen means and deviations side by side exceed what Spark compiles, so the columns are
+    measured in groups, each by one aggregate that reads its columns only. Every group is a pass over
+    the frame: give it a written one. `fields` is what the aggregates of one column keep.
     """
-    numbers = df.select([as_number(df, name).alias(name) for name in columns])
-    return numbers.unpivot([], columns, "column", "value")
+    size = max(1, COMPILED_FIELDS // fields)
+    groups = [columns[at : at + size] for at in range(0, len(columns), size)]
+    rows = [rows_per_item(df.select(*names), label, {name: measures(name) for name in names}) for names in groups]
+    return reduce(DataFrame.unionAll, rows)

@@ -1,11 +1,14 @@
 """Derived features of the integrated readings."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrowatch.functions.expressions import safe_div
 
 DAYS_PER_YEAR = 365
+HOUR_MICROS = 3_600_000_000
+# Stands for NULL among machines and times.
+LEAST = -(1 << 63)
 
 
 def equipment_age_days(df: DataFrame) -> DataFrame:
@@ -33,53 +36,45 @@ def pct_of_max(df: DataFrame) -> DataFrame:
 def cumulative_totals(df: DataFrame) -> DataFrame:
     """Running cost and operating hours per machine by time; equal times share a total.
 
-    A running sum over each machine would hold all rows of the busiest machine in one task.
-    Rows of the same machine and time are added up first, which combines before the shuffle.
-    Sums then run inside each machine-day, the days' totals run over each machine, and the
-    two are added and joined back on (machine, time), where AQE can split a hot key because
-    the other side has one row per key. NULL ids form one group and NULL times come first,
-    hence the null-safe join.
+    A running sum over each machine would hold all rows of the busiest machine in one task. Rows of
+    the same machine and time are added up first, which combines before the shuffle. Sums then run
+    over the times of each machine-hour, so a dense day is spread over tasks; the totals of the hours
+    before come first in each, as one more row. The sums are joined back on (machine, time), where
+    AQE can split a hot key because the other side has one row per key. Machine and time are plain
+    numbers there, without NULL: NULL ids are one machine, NULL times come first.
     """
-    moments = (
-        df.groupBy(F.col("equipment_id").alias("total_machine"), F.col("timestamp").alias("total_time"))
-        .agg(F.sum("cost").alias("cost"), F.sum("operating_hours").alias("hours"))
-        .withColumn("total_day", F.to_date("total_time"))
+    keyed = df.withColumns({"_machine": _number(F.col("equipment_id").cast("long")), "_time": _micros("timestamp")})
+    hour = F.expr(f"_time div {HOUR_MICROS}").alias("_hour")
+    added = [F.sum("cost").alias("cost"), F.sum("operating_hours").alias("hours")]
+    moments = keyed.groupBy("_machine", hour, "_time").agg(*added).withColumn("_moment", F.lit(True))
+    earlier = Window.partitionBy("_machine").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    before = keyed.groupBy("_machine", hour).agg(*added).select(
+        "_machine",
+        "_hour",
+        F.lit(LEAST).alias("_time"),
+        F.sum("cost").over(earlier).alias("cost"),
+        F.sum("hours").over(earlier).alias("hours"),
+        F.lit(False).alias("_moment"),
     )
-    in_day = Window.partitionBy("total_machine", "total_day").orderBy("total_time")
-    running = moments.withColumns(
-        {"cost_in_day": F.sum("cost").over(in_day), "hours_in_day": F.sum("hours").over(in_day)}
+    upto = Window.partitionBy("_machine", "_hour").orderBy("_moment", "_time")
+    totals = moments.unionByName(before).select(
+        "_machine",
+        "_time",
+        "_moment",
+        F.sum("cost").over(upto).alias("cumulative_maintenance_cost"),
+        F.sum("hours").over(upto).alias("cumulative_operating_hours"),
     )
-    earlier = (
-        Window.partitionBy("total_machine").orderBy("total_day").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    days = (
-        moments.groupBy("total_machine", "total_day")
-        .agg(F.sum("cost").alias("cost"), F.sum("hours").alias("hours"))
-        .select(
-            F.col("total_machine").alias("day_machine"),
-            F.col("total_day").alias("day"),
-            F.sum("cost").over(earlier).alias("cost_before"),
-            F.sum("hours").over(earlier).alias("hours_before"),
-        )
-    )
-    same_day = F.col("total_machine").eqNullSafe(F.col("day_machine")) & F.col("total_day").eqNullSafe(
-        F.col("day")
-    )
-    totals = running.join(days, same_day, "left").select(
-        "total_machine",
-        "total_time",
-        _add("cost_before", "cost_in_day").alias("cumulative_maintenance_cost"),
-        _add("hours_before", "hours_in_day").alias("cumulative_operating_hours"),
-    )
-    same_moment = F.col("equipment_id").eqNullSafe(F.col("total_machine")) & F.col("timestamp").eqNullSafe(
-        F.col("total_time")
-    )
-    return df.join(totals, same_moment, "left").drop("total_machine", "total_time")
+    totals = totals.filter("_moment").drop("_moment")
+    return keyed.join(totals, ["_machine", "_time"]).drop("_machine", "_time")
+
+
+def _number(value: Column) -> Column:
+    """A number that is never NULL; NULL is below all others."""
+    return F.coalesce(value, F.lit(LEAST))
 
 
-def _add(before: str, inside: str):
-    """Sum of two partial totals; NULL only while no value has been seen."""
-    return F.coalesce(F.col(before) + F.col(inside), F.col(before), F.col(inside))
+def _micros(name: str) -> Column:
+    return _number(F.unix_micros(F.col(name).cast("timestamp")))
 
 
 def estimated_rul(df: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Profiling and cleaning; column sets follow from the frame's schema unless named."""
 
 import math
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
@@ -10,9 +11,10 @@ from pyspark.sql import types as T
 
 from ferrowatch.functions.expressions import (
     any_of,
+    as_number,
     is_nan,
-    long_numbers,
     numeric_columns,
+    rows_per_column,
     rows_per_item,
     string_columns,
     value_counts,
@@ -45,50 +47,61 @@ def dataset_sample(df: DataFrame, n: int = 5) -> DataFrame:
 def summary_stats(df: DataFrame) -> DataFrame:
     """(column, count, mean, stddev, min_number, max_number, min_text, max_text).
 
-    One row per numeric or text column. Text columns have a mean and deviation of those
-    values that read as numbers, as describe() has. Text is grouped by value before its
-    extremes are taken.
+    One row per numeric or text column. Numeric columns are measured in groups, without a row per
+    value. Text is grouped by value first; its columns have a mean and deviation of those values that
+    read as numbers, as describe() has. Give a written frame: it is read several times.
     """
-    texts = string_columns(df)
-    columns = numeric_columns(df) + texts
-    is_text = F.col("column").isin(texts)
-    numbers = (
-        long_numbers(df, columns)
+    numbers, texts = numeric_columns(df), string_columns(df)
+    none = F.lit(None)
+    frames = []
+    if numbers:
+        measured = rows_per_column(df, "column", numbers, _measures, fields=8)
+        frames.append(measured.withColumns({"min_text": none.cast("string"), "max_text": none.cast("string")}))
+    if texts:
+        frames.append(_text_stats(df, texts))
+    if not frames:
+        raise ValueError("no column to report on")
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _measures(name: str) -> dict[str, Column]:
+    return {
+        "count": F.count(name),
+        "mean": F.avg(name).cast("double"),
+        "stddev": F.stddev_samp(name),
+        "min_number": F.min(name).cast("double"),
+        "max_number": F.max(name).cast("double"),
+    }
+
+
+def _text_stats(df: DataFrame, texts: list[str]) -> DataFrame:
+    """The statistics of text columns from the counts of their different values."""
+    counts = value_counts(df, texts).withColumn("number", as_number("value"))
+    known = F.col("value").isNotNull()
+    read = F.when(F.col("number").isNotNull(), F.col("count"))
+    totals = counts.groupBy(F.col("column").alias("_column")).agg(
+        F.coalesce(F.sum(F.when(known, F.col("count"))), F.lit(0)).alias("_count"),
+        F.sum(read).alias("_read"),
+        F.try_divide(F.sum(read * F.col("number")), F.sum(read)).alias("mean"),
+        F.min("value").alias("min_text"),
+        F.max("value").alias("max_text"),
+    )
+    apart = F.col("number") - F.col("mean")
+    spread = (
+        counts.join(totals.select("_column", "mean"), F.col("column") == F.col("_column"))
         .groupBy("column")
-        .agg(
-            F.count("value").alias("numbers"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("stddev"),
-            F.min("value").alias("min_number"),
-            F.max("value").alias("max_number"),
-        )
+        .agg(F.sum(read * apart * apart).alias("_spread"))
     )
-    names = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column"))
-    stats = names.join(numbers, "column", "left")
-    if texts:
-        extremes = (
-            value_counts(df, texts)
-            .filter(F.col("value").isNotNull())
-            .groupBy("column")
-            .agg(
-                F.sum("count").alias("texts"),
-                F.min("value").alias("min_text"),
-                F.max("value").alias("max_text"),
-            )
-        )
-        stats = stats.join(extremes, "column", "left")
-    else:
-        none = F.lit(None)
-        stats = stats.withColumns(
-            {"texts": none.cast("long"), "min_text": none.cast("string"), "max_text": none.cast("string")}
-        )
+    names = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, texts))).alias("column"))
+    stats = names.join(totals, F.col("column") == F.col("_column"), "left").join(spread, "column", "left")
+    none = F.lit(None).cast("double")
     return stats.select(
         "column",
-        F.coalesce(F.when(is_text, F.col("texts")).otherwise(F.col("numbers")), F.lit(0)).alias("count"),
+        F.coalesce("_count", F.lit(0)).alias("count"),
         "mean",
-        "stddev",
-        F.when(~is_text, F.col("min_number")).alias("min_number"),
-        F.when(~is_text, F.col("max_number")).alias("max_number"),
+        F.sqrt(F.try_divide(F.col("_spread"), F.col("_read") - 1)).alias("stddev"),
+        none.alias("min_number"),
+        none.alias("max_number"),
         "min_text",
         "max_text",
     )
@@ -171,9 +184,12 @@ def categorical_frequencies(df: DataFrame, top: int = 10) -> DataFrame:
 def outlier_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, outliers): values strictly outside mean ± 3 sample deviations."""
     columns = columns or numeric_columns(df)
-    mean, spread = F.avg("value"), 3 * F.stddev_samp("value")
-    bounds = F.struct((mean - spread).alias("low"), (mean + spread).alias("high"))
-    per_column = long_numbers(df, columns).groupBy("column").agg(bounds.alias("bounds"))
+
+    def limits(name):
+        mean, spread = F.avg(name), 3 * F.stddev_samp(name)
+        return {"bounds": F.struct((mean - spread).alias("low"), (mean + spread).alias("high"))}
+
+    per_column = rows_per_column(df, "column", columns, limits, fields=5)
     # One entry per column, so the lookup is as small as the schema.
     lookup = per_column.agg(F.map_from_entries(F.collect_list(F.struct("column", "bounds")))).scalar()
 

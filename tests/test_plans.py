@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from ferrowatch.operators import alerts, encoding, features, integrate, items, sensor_quality
+from ferrowatch.operators import alerts, encoding, features, integrate, items, profile, sensor_quality
 from ferrowatch.plans import catalogue, chain
 from ferrowatch.sources import staging
 from ferrowatch.sources.projections import DomainTables
@@ -52,27 +52,24 @@ def test_no_python_and_no_window_over_rows_of_a_machine(cleaned):
     plan = plan_of(graded)
     assert "Python" not in plan
     assert "BatchEval" not in plan
-    # Windows over a machine alone are ordered by day, that is, over daily totals.
-    windows = re.findall(r"Window \[.*\], \[(total_machine#\d+)\], \[(\w+)#", plan)
-    assert windows and all(order == "total_day" for _, order in windows)
+    # Windows over a machine alone are ordered by hour, that is, over hourly totals.
+    windows = re.findall(r"Window \[.*\], \[(_machine#\d+L?)\], \[(\w+)#", plan)
+    assert windows and all(order == "_hour" for _, order in windows)
 
 
-def test_gaps_across_days_are_over_daily_rows(tables):
-    plan = plan_of(sensor_quality.timestamp_continuity(tables.sensor))
-    assert re.search(r"Window \[.*\], \[equipment_id#\d+\], \[day#", plan)
-    assert not re.search(r"Window \[.*\], \[equipment_id#\d+\], \[(second|timestamp)#", plan)
+def test_running_totals_shuffle_plain_keys_few_times(cleaned, without_broadcast):
+    plan = plan_of(features.cumulative_totals(cleaned))
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)
+    # Twice for the sums to join, once for moments, hours, a machine's hours and an hour's moments.
+    assert len(keys) == 6 and "isnull" not in str(keys) and "coalesce" not in str(keys)
 
 
-def test_limits_and_thresholds_read_only_their_columns(cleaned):
-    plan = plan_of(alerts.alert_limits(cleaned))
-    assert "ReadSchema: struct<power_output:double,noise_level:double,current:double>" in plan
-    plan = plan_of(items.item_thresholds(cleaned))
-    assert "description" not in plan.split("ReadSchema")[1]
-
-
-def test_thresholds_and_shares_of_alerts_join_nothing(cleaned):
-    assert "Join" not in plan_of(items.item_thresholds(cleaned))
-    assert "Join" not in plan_of(alerts.alert_percentages(alerts.add_alerts(cleaned)))
+def test_moments_of_numbers_need_no_row_per_value(cleaned):
+    numbers = cleaned.select(*profile.numeric_columns(cleaned))
+    for frame in (profile.summary_stats(numbers), profile.outlier_counts(numbers)):
+        plan = plan_of(frame)
+        assert "Expand" not in plan and "Join" not in plan
+        assert "description" not in plan
 
 
 @pytest.mark.parametrize("name", ["metrics_on_rule", "confusion_on_rule", "alerts"])
