@@ -9,6 +9,7 @@ into whole copies by a hash of the row, and single documents then move up or dow
 where that brings a source nearer to its target. All of it is DataFrame expressions.
 """
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,8 +20,9 @@ from ferrowatch.sources.staging import stage
 
 OUTPUT = ("size", "source_size", "target", "copies", "taken")
 TOLERANCE = 1e-6
-# Newton steps and rounds of single-document corrections; both end earlier when nothing is left.
-MAX_STEPS = 40
+# Newton steps and rounds of single-document corrections; both end earlier when nothing is left. A
+# tilt that is not solved by then is used as it is, and a warning says so.
+MAX_STEPS = 100
 CORRECTIONS = 6
 ENOUGH = 2e-4
 
@@ -142,7 +144,9 @@ def solve_tilts(histogram: DataFrame, targets: DataFrame, cap: int) -> DataFrame
         advanced = stage(advanced, "mix_tilts")
         state = advanced.drop("off")
         if advanced.where("off").isEmpty():
-            break
+            return state
+    unsolved = advanced.where("off").count()
+    warnings.warn(f"{unsolved} sources miss their target after {MAX_STEPS} steps", stacklevel=2)
     return state
 
 
@@ -197,7 +201,7 @@ def _corrections(sizes: DataFrame, tilts: DataFrame, cap: int) -> DataFrame:
 class Mix:
     """The solved mix of a table: how many copies of each row it takes.
 
-    Sizes are words. A null text has size 0, a null source is a source of its own, a null id is
+    Sizes are words. A null text has size 0 and is taken once, as any text without words; a null source is a source of its own, a null id is
     an id like others. Rows that repeat source, id and size share their number of copies, so it
     depends on nothing but the data and reruns agree. An empty table gives an empty mix.
     """
@@ -237,6 +241,8 @@ class Mix:
         same = F.col(skey) == F.col(moved_key)
         same &= F.col(row_id).eqNullSafe(F.col(moved_id)) & (F.col(size) == F.col(moved_size))
         rate = _rate(self.cap, (by["lam"], size, by["scale"], by["full"]))
+        # A document without words weighs nothing and is neither repeated nor dropped.
+        rate = F.when(F.col(size) == 0, F.lit(1.0)).otherwise(rate)
         return (
             rows.join(tilts, F.col(skey) == F.col(by["skey"]))
             .join(moved, same, "left")

@@ -10,9 +10,10 @@ it stops when a closer vector would, with the chosen probability, have been proj
 the next leaf.
 
 A first pass searches each query's nearest cells; its k-th distance then rules out most others.
-Cells are cut into blocks of bounded size and queries too, and each pair of blocks that has to be
-searched is one call. Equal vectors are one point with its smallest ids, which are all that can
-appear in a result.
+Cells are cut into blocks of bounded size, and so are the queries of a cell, so that those of a block
+go to much the same cells. The vectors of a block are copied once for each block of queries of which
+some visits it, and each such pair is one call. Equal vectors are one point with its smallest ids,
+which are all that can appear in a result; equal scores of different points go by their smallest ids.
 """
 
 import math
@@ -28,12 +29,14 @@ from ferrowatch.sources.staging import stage
 DIMENSIONS = 8
 CONFIDENCE = 0.97
 # Vectors that the upper tree is fitted on, the most cells it has, and the rows of a block.
-SAMPLE_ROWS = 20_000
-MAX_CELLS = 512
+SAMPLE_ROWS = 64_000
+MAX_CELLS = 4096
 BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
 LEAF_ROWS = 128
 NEAREST_CELLS = 2
+# Distances of queries to cells that are held at once.
+BOUNDS = 1 << 20
 
 
 def chi_square_cdf(x: np.ndarray, freedom: int = DIMENSIONS) -> np.ndarray:
@@ -112,8 +115,11 @@ class UpperTree:
 
 def _bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Squared distance of each query to each box."""
-    gap = np.maximum(low[None] - queries[:, None], 0) + np.maximum(queries[:, None] - high[None], 0)
-    return (gap**2).sum(2)
+    total = np.zeros((len(queries), len(low)))
+    for d in range(queries.shape[1]):
+        own = queries[:, d, None]
+        total += (np.maximum(low[None, :, d] - own, 0) + np.maximum(own - high[None, :, d], 0)) ** 2
+    return total
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -124,16 +130,21 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _settled(bound: np.ndarray, kth: np.ndarray, confidence: float) -> np.ndarray:
-    """Whether what lies beyond the projected bound may be left."""
+    """Whether what lies beyond the projected bound may be left; never at a confidence of 1."""
+    if confidence >= 1:
+        return np.zeros(np.broadcast(bound, kth).shape, bool)
     ratio = np.divide(bound, kth, out=np.full(np.broadcast(bound, kth).shape, np.inf), where=kth > 0)
     return (chi_square_cdf(ratio) >= confidence) & np.isfinite(kth)
 
 
 def _search(
-    vectors: np.ndarray, keys: np.ndarray, asked: np.ndarray, kth: np.ndarray,
+    vectors: np.ndarray, asked: np.ndarray, kth: np.ndarray,
     projection: Projection, keep: int, confidence: float,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """The best inner products and keys for each query among these vectors; -inf where too few."""
+    """The best inner products and their rows for each query among these vectors; -inf where too few.
+
+    Of equal ones the first rows win.
+    """
     points, queries = projection.points(vectors), projection.queries(asked)
     leaves = split(points, LEAF_ROWS)
     low = np.array([points[leaf].min(0) for leaf in leaves])
@@ -154,8 +165,8 @@ def _search(
             rows = active[near[active] == leaf]
             scores = asked[rows] @ vectors[leaves[leaf]].T
             pool = np.concatenate([best[rows], scores], axis=1)
-            names = np.concatenate([who[rows], np.broadcast_to(keys[leaves[leaf]], scores.shape)], axis=1)
-            top = np.argsort(-pool, axis=1, kind="stable")[:, :keep]
+            names = np.concatenate([who[rows], np.broadcast_to(leaves[leaf], scores.shape)], axis=1)
+            top = np.lexsort((names, -pool), axis=1)[:, :keep]
             best[rows] = np.take_along_axis(pool, top, 1)
             who[rows] = np.take_along_axis(names, top, 1)
         kth = np.minimum(kth, np.maximum(level - 2 * best[:, -1], 0.0))
@@ -173,7 +184,9 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row, its own id apart.
 
-    Nearness is the largest inner product, in double precision; ties go to the smaller id. Vectors
+    Nearness is the largest inner product, in double precision; of those found ties go to the smaller
+    id. At a confidence of 1 nothing that could be nearer or as near is left out. Ids are integers, or
+    are cast to long: others are an error. Components whose squares overflow are not finite. Vectors
     that are null, zero, hold null or non-finite numbers, or are not of the most common length
     (the longer of equally common ones) take no part, nor do rows with a null id. A query has as
     many neighbours as there are candidates, if fewer than k. Repeated rows are one; rows that
@@ -200,7 +213,7 @@ def nearest(
     projection = Projection(shape["dims"], top)
     shared = spark.sparkContext.broadcast(projection)
 
-    # Equal vectors are one point; only so many of their ids can be in a result.
+    # Equal vectors are one point, named by its smallest id; only so many ids can be in a result.
     keep = k + 1
     smallest = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     few = rows.withColumn("place", smallest).where(F.col("place") <= keep)
@@ -238,8 +251,13 @@ def nearest(
     asked = rows.where("asks").select("id", "v").join(points.select("v", "key").hint("merge"), "v")
     asked = stage(asked.select(F.col("id").alias("query_id"), F.col("key").alias("query")), "ann_asked")
     queries = points.join(asked.select(F.col("query").alias("key")).distinct().hint("merge"), "key", "left_semi")
-    queries = stage(queries.select(F.col("key").alias("query"), F.col("v").alias("q")), "ann_queries")
-    blocks = max(1, -(-queries.count() // QUERY_ROWS))
+    # Queries are dealt by their own cell; one row per cell tells how many blocks it has.
+    number = F.ceil(F.count("*") / F.lit(QUERY_ROWS)).cast("int")
+    homes = queries.groupBy(F.col("cell").alias("home")).agg(number.alias("shares"))
+    queries = queries.join(homes, F.col("cell") == F.col("home"))
+    share = F.pmod(F.xxhash64("key"), F.col("shares")).cast("int")
+    queries = queries.select(F.col("key").alias("query"), F.col("v").alias("q"), "home", share.alias("share"))
+    queries = stage(queries, "ann_queries")
 
     def visits(which) -> Column:
         """The cells that a query goes to, by its vector and its k-th distance so far."""
@@ -247,26 +265,26 @@ def nearest(
         @F.arrow_udf("array<int>")
         def chosen(vectors: pa.Array, kths: pa.Array) -> pa.Array:
             names, lows, highs = layout.value
-            bounds = _bounds(shared.value.queries(_matrix(vectors)), lows, highs)
-            order = np.argsort(bounds, axis=1)[:, :NEAREST_CELLS]
-            first = np.zeros(bounds.shape, bool)
-            np.put_along_axis(first, order, True, axis=1)
-            if which == "first":
-                mask = first
-            else:
-                kth = kths.to_numpy(zero_copy_only=False)[:, None]
-                mask = ~first & ~_settled(bounds, kth, confidence)
-            return pa.array([names[row].tolist() for row in mask], pa.list_(pa.int32()))
+            asking, kth = shared.value.queries(_matrix(vectors)), kths.to_numpy(zero_copy_only=False)[:, None]
+            chosen_cells = []
+            size = max(1, BOUNDS // len(names))
+            for at in range(0, len(asking), size):
+                bounds = _bounds(asking[at : at + size], lows, highs)
+                first = np.zeros(bounds.shape, bool)
+                np.put_along_axis(first, np.argsort(bounds, axis=1)[:, :NEAREST_CELLS], True, axis=1)
+                rest = ~first & ~_settled(bounds, kth[at : at + size], confidence)
+                chosen_cells += [names[row].tolist() for row in (first if which == "first" else rest)]
+            return pa.array(chosen_cells, pa.list_(pa.int32()))
 
         return chosen("q", "kth")
 
     def search(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        kinds = {"query": pa.int64(), "key": pa.int64(), "score": pa.float64()}
+        kinds = {"query": pa.int64(), "key": pa.int64(), "first_id": pa.int64(), "score": pa.float64()}
         if not mine.num_rows or not theirs.num_rows:
             return pa.table({name: pa.array([], kind) for name, kind in kinds.items()})
+        theirs = theirs.sort_by("FIRST_ID")
         best, who = _search(
             _matrix(theirs.column("V")),
-            theirs.column("KEY").to_numpy(),
             _matrix(mine.column("q")),
             mine.column("kth").to_numpy(),
             shared.value,
@@ -275,27 +293,32 @@ def nearest(
         )
         real = np.isfinite(best)
         names = np.broadcast_to(mine.column("query").to_numpy()[:, None], best.shape)
-        columns = {"query": names[real], "key": who[real], "score": best[real]}
-        return pa.table({name: pa.array(columns[name], kind) for name, kind in kinds.items()})
+        keys, firsts = theirs.column("KEY").to_numpy(), theirs.column("FIRST_ID").to_numpy()
+        columns = (names[real], keys[who[real]], firsts[who[real]], best[real])
+        return pa.table({name: pa.array(c, kind) for c, (name, kind) in zip(columns, kinds.items(), strict=True)})
+
+    dealt = points.join(F.broadcast(cells), "cell").select(
+        F.col("cell").alias("CELL"),
+        F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("PART"),
+        F.col("key").alias("KEY"),
+        F.col("ids")[0].alias("FIRST_ID"),
+        F.col("v").alias("V"),
+    )
 
     def searched(goers: DataFrame, which: str) -> DataFrame:
         """The best of each query in each block it goes to."""
         going = goers.withColumn("cell", F.explode(visits(which))).join(F.broadcast(cells), "cell")
-        going = going.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        going = going.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
-        held = points.join(F.broadcast(cells), "cell").select(
-            F.col("cell").alias("CELL"),
-            F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("PART"),
-            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("BLOCK"),
-            F.col("key").alias("KEY"),
-            F.col("v").alias("V"),
-        )
-        left = going.select("cell", "part", "block", "query", "q", "kth")
-        pairs = left.groupBy("cell", "part", "block").cogroup(held.groupBy("CELL", "PART", "BLOCK"))
-        return pairs.applyInArrow(search, "query long, key long, score double")
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+        left = going.select("cell", "home", "share", "query", "q", "kth", every)
+        # Which blocks of queries visit a cell at all: its vectors go to these only.
+        visitors = going.select(F.col("cell").alias("CELL"), F.col("home").alias("HOME"), F.col("share").alias("SHARE"))
+        held = dealt.join(visitors.distinct(), "CELL")
+        names = ["cell", "part", "home", "share"]
+        pairs = left.groupBy(*names).cogroup(held.groupBy(*[name.upper() for name in names]))
+        return pairs.applyInArrow(search, "query long, key long, first_id long, score double")
 
     def best_of(found: DataFrame) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
+        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first_id"))
         return found.withColumn("place", place).where(F.col("place") <= keep).drop("place")
 
     start = queries.withColumn("kth", F.lit(float("inf")))
@@ -304,7 +327,7 @@ def nearest(
     kth = best_of(first).groupBy("query").agg(F.min("score").alias("worst"), F.count("*").alias("n"))
     known = queries.join(kth.hint("merge"), "query", "left")
     bound = F.when(F.col("n") >= keep, F.greatest(level - 2 * F.col("worst"), F.lit(0.0)))
-    known = known.select("query", "q", F.coalesce(bound, F.lit(float("inf"))).alias("kth"))
+    known = known.select("query", "q", "home", "share", F.coalesce(bound, F.lit(float("inf"))).alias("kth"))
     second = searched(stage(known, "ann_known"), "rest")
     candidates = best_of(first.unionAll(second))
     named = candidates.join(points.select("key", "ids").hint("merge"), "key")

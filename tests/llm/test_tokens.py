@@ -134,8 +134,29 @@ def test_reader_decompresses_only_what_it_needs(tmp_path):
         token_files.Reader(stream, path.stat().st_size).document(0)
 
 
+def test_hot_ids_fill_several_files(spark, docs_of):
+    rows = [(7, f"text {k} " * 40) for k in range(400)] + [(None, f"other {k} " * 40) for k in range(400)] + [(9, "end")]
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k")
+    try:
+        manifest = token_files.write(docs_of(rows), WORD, end_id=1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert manifest.count() > 3 and manifest.agg({"n_docs": "max"}).first()[0] < 400
+    found = token_files.fetch(manifest, docs_of([(7, ""), (9, ""), (None, ""), (8, "")])).collect()
+    assert sorted(r.doc_id for r in found) == [7] * 400 + [9]
+    plain = Tokenizer.from_file(WORD)
+    expected = sorted(plain.encode(text, add_special_tokens=False).ids + [1] for d, text in rows if d == 7)
+    assert sorted(np.frombuffer(r.ids, "<u4").tolist() for r in found if r.doc_id == 7) == expected
+
+
 def test_token_query_and_empty_table(spark, small, docs_of):
     rows = queries.queries()["op2_token_output"](spark, small).orderBy("doc_id").collect()
     assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1]]
+    plain = Tokenizer.from_file(WORD)
+    expected = []
+    for doc in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect():
+        ids = np.array(plain.encode(doc.text or "", add_special_tokens=False).ids + [1], "<u4")
+        expected.append((doc.doc_id, len(ids), zlib.crc32(ids.tobytes())))
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in rows] == expected
     empty = token_files.write(docs_of([(1, "x")]).limit(0), WORD, end_id=1)
     assert token_files.read(empty).count() == 0
