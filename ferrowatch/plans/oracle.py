@@ -53,7 +53,17 @@ def checks(source: str, conditions: dict[str, str]) -> str:
     )
 
 
+def _rated(reading: str) -> str:
+    """The status of a reading by its share of the rated limit; NULL where the limit is zero."""
+    share = f"{reading} / NULLIF(max_{reading}, 0) * 100"
+    return (
+        f"CASE WHEN {share} > 90 THEN 'Danger' WHEN {share} > 80 THEN 'Warning' "
+        f"WHEN {share} IS NOT NULL THEN 'Normal' END AS {reading}_alert"
+    )
+
+
 def _ctes() -> dict[str, str]:
+    rated = ", ".join(map(_rated, ("temperature", "pressure", "rotational_speed")))
     ctes = {
         "equipment": projections.EQUIPMENT_SQL.format(**VIEWS),
         "sensor": f'SELECT * RENAME (reading_time AS "timestamp") FROM ({projections.SENSOR_SQL.format(**VIEWS)})',
@@ -69,7 +79,10 @@ def _ctes() -> dict[str, str]:
                             OVER (PARTITION BY equipment_id) AS ratio FROM operational)""",
         "latest": """
             SELECT * EXCLUDE (pos) RENAME ("date" AS maintenance_date) FROM (
-                SELECT *, ROW_NUMBER() OVER (PARTITION BY equipment_id ORDER BY "date" DESC NULLS LAST) AS pos
+                SELECT *, ROW_NUMBER() OVER (PARTITION BY equipment_id ORDER BY "date" DESC NULLS LAST,
+                    maintenance_type DESC NULLS LAST, description DESC NULLS LAST, technician_id DESC NULLS LAST,
+                    duration_hours DESC NULLS LAST, "cost" DESC NULLS LAST, parts_replaced DESC NULLS LAST,
+                    maintenance_result DESC NULLS LAST) AS pos
                 FROM maintenance) WHERE pos = 1""",
         "integrated": f"""
             SELECT {', '.join(f'"{name}"' for name in INTEGRATED)} FROM (
@@ -104,16 +117,9 @@ def _ctes() -> dict[str, str]:
             SELECT MIN(power_output) AS min_power, MAX(power_output) AS max_power, MIN(noise_level) AS min_noise,
                 MAX(noise_level) AS max_noise, MIN("current") AS min_current, MAX("current") AS max_current
             FROM features""",
-        "graded": """
+        "graded": f"""
             SELECT features.*,
-                CASE WHEN temperature / max_temperature * 100 > 90 THEN 'Danger'
-                     WHEN temperature / max_temperature * 100 > 80 THEN 'Warning' ELSE 'Normal' END
-                    AS temperature_alert,
-                CASE WHEN pressure / max_pressure * 100 > 90 THEN 'Danger'
-                     WHEN pressure / max_pressure * 100 > 80 THEN 'Warning' ELSE 'Normal' END AS pressure_alert,
-                CASE WHEN rotational_speed / max_rotational_speed * 100 > 90 THEN 'Danger'
-                     WHEN rotational_speed / max_rotational_speed * 100 > 80 THEN 'Warning' ELSE 'Normal' END
-                    AS rotational_speed_alert,
+                {rated},
                 CASE WHEN min_power <= power_output AND power_output <= CAST(0.85 AS DOUBLE) * max_power THEN 'Normal'
                      WHEN CAST(0.85 AS DOUBLE) * max_power < power_output
                           AND power_output <= CAST(0.95 AS DOUBLE) * max_power THEN 'Warning'
@@ -443,8 +449,14 @@ def _check_queries() -> dict[str, str]:
     absent = " OR ".join(
         f"NOT EXISTS (SELECT 1 FROM {table} t WHERE t.equipment_id = a.equipment_id)" for table in _TABLES
     )
-    missing = "SELECT DISTINCT equipment_id FROM sensor WHERE equipment_id NOT IN (SELECT equipment_id FROM equipment)"
-    extra = "SELECT equipment_id FROM equipment WHERE equipment_id NOT IN (SELECT equipment_id FROM sensor)"
+    missing = (
+        "SELECT DISTINCT equipment_id FROM sensor s "
+        "WHERE NOT EXISTS (SELECT 1 FROM equipment e WHERE e.equipment_id = s.equipment_id)"
+    )
+    extra = (
+        "SELECT equipment_id FROM equipment e "
+        "WHERE NOT EXISTS (SELECT 1 FROM sensor s WHERE e.equipment_id = s.equipment_id)"
+    )
     shape = "'%Y-%m-%d %H:%M:%S'"
     frequency = f"""
         SELECT equipment_id, n AS reading_count, strftime(lo, {shape}) AS first_reading,
@@ -481,7 +493,7 @@ def _check_queries() -> dict[str, str]:
             for n in schemas.READING_COLUMNS
         ),
         "sensor_frequency": frequency,
-        "sensor_frequency_sample": frequency + " ORDER BY equipment_id LIMIT 5",
+        "sensor_frequency_sample": frequency + " ORDER BY equipment_id NULLS FIRST LIMIT 5",
         "sensor_id_check": f"SELECT 'missing' AS side, equipment_id FROM ({missing}) "
         f"UNION ALL SELECT 'extra', equipment_id FROM ({extra})",
         "sensor_ids_match": "SELECT m AS missing_count, e AS extra_count, m = 0 AND e = 0 AS all_ids_match "

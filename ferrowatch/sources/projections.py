@@ -17,7 +17,7 @@ SELECT CAST(p_partkey AS INT) AS equipment_id,
   concat('Model-', CAST(p_size AS STRING)) AS model,
   p_brand AS manufacturer,
   TIMESTAMP '1994-01-01 00:00:00' + (p_partkey * 37 % 1500) * INTERVAL '1' DAY AS installation_date,
-  CAST(84 + p_partkey % 21 AS DOUBLE) AS max_temperature,
+  CAST(CASE WHEN p_partkey % 89 = 0 THEN 0 ELSE 84 + p_partkey % 21 END AS DOUBLE) AS max_temperature,
   CAST(150 + p_partkey * 3 % 51 AS DOUBLE) AS max_pressure,
   CAST(1300 + p_partkey * 7 % 701 AS DOUBLE) AS max_rotational_speed,
   CAST(4 + p_partkey % 11 AS DOUBLE) AS expected_lifetime_years,
@@ -35,7 +35,8 @@ FROM {part}
 """
 
 SENSOR_SQL = """
-SELECT CAST(l_partkey + CASE WHEN l_orderkey % 499 = 0 THEN 1000000 ELSE 0 END AS INT) AS equipment_id,
+SELECT CASE WHEN k % 701 = 0 THEN NULL
+       ELSE CAST(l_partkey + CASE WHEN l_orderkey % 499 = 0 THEN 1000000 ELSE 0 END AS INT) END AS equipment_id,
   l_shipdate + (6 * (l_linenumber % 4)) * INTERVAL '1' HOUR AS reading_time,
   CAST(45 + k * 3 % 23 + CASE WHEN k % 31 = 0 THEN 25 ELSE 0 END AS DOUBLE) AS temperature,
   CAST(30 + k % 41 AS DOUBLE) / 100.0 AS vibration,
@@ -49,7 +50,8 @@ SELECT CAST(l_partkey + CASE WHEN l_orderkey % 499 = 0 THEN 1000000 ELSE 0 END A
   CASE WHEN k % 997 = 0 THEN NULL
        ELSE CAST(38 + k * 23 % 25
          + CASE WHEN k % 67 = 0 THEN 15 WHEN k % 71 = 0 THEN -12 ELSE 0 END AS DOUBLE) END AS oil_viscosity
-FROM (SELECT *, l_orderkey * 7 + l_linenumber AS k FROM {lineitem})
+FROM (SELECT *, l_orderkey * 7 + l_linenumber AS k FROM {lineitem}
+      UNION ALL SELECT *, l_orderkey * 7 + l_linenumber AS k FROM {lineitem} WHERE l_orderkey % 97 = 0)
 """
 
 MAINTENANCE_SQL = """
@@ -66,7 +68,11 @@ SELECT CAST(l_partkey AS INT) AS equipment_id,
        WHEN g * 7 % 10 < 6 THEN 'None' WHEN g * 7 % 10 = 6 THEN 'Bearings'
        WHEN g * 7 % 10 = 7 THEN 'Seals' WHEN g * 7 % 10 = 8 THEN 'Filters' ELSE 'Motor' END AS parts_replaced,
   CASE WHEN g % 20 < 16 THEN 'Successful' WHEN g % 20 < 19 THEN 'Partial' ELSE 'Failed' END AS maintenance_result
-FROM (SELECT l_partkey, l_shipdate, min(l_orderkey) AS g FROM {lineitem} GROUP BY l_partkey, l_shipdate)
+FROM (SELECT l_partkey, l_shipdate, min(l_orderkey) AS g FROM {lineitem} GROUP BY l_partkey, l_shipdate
+      UNION ALL SELECT l_partkey, l_shipdate, 1 + max(l_orderkey) AS g FROM {lineitem}
+      WHERE l_orderkey % 6 = 0 GROUP BY l_partkey, l_shipdate
+      UNION ALL SELECT l_partkey, l_shipdate, min(l_orderkey) AS g FROM {lineitem}
+      WHERE l_orderkey % 101 = 0 GROUP BY l_partkey, l_shipdate)
 """
 
 OPERATIONAL_SQL = """
