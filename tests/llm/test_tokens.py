@@ -136,11 +136,11 @@ def test_reader_decompresses_only_what_it_needs(tmp_path):
 
 def test_hot_ids_fill_several_files(spark, docs_of):
     rows = [(7, f"text {k} " * 40) for k in range(400)] + [(None, f"other {k} " * 40) for k in range(400)] + [(9, "end")]
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         manifest = token_files.write(docs_of(rows), WORD, end_id=1)
     finally:
-        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert manifest.count() > 3 and manifest.agg({"n_docs": "max"}).first()[0] < 400
     found = token_files.fetch(manifest, docs_of([(7, ""), (9, ""), (None, ""), (8, "")])).collect()
     assert sorted(r.doc_id for r in found) == [7] * 400 + [9]
