@@ -10,8 +10,8 @@ it stops when a closer vector would, with the chosen probability, have been proj
 the next leaf.
 
 A first pass searches each query's nearest cells; its k-th distance then rules out most others.
-Cells are cut into blocks of bounded size, and so are the queries of a cell, so that those of a block
-go to much the same cells. The vectors of a block are copied once for each block of queries of which
+Cells are cut into blocks of bounded size, and so are the queries by their own cells, so that those of
+a block go to much the same cells. The vectors of a block are copied once for each block of queries of which
 some visits it, and each such pair is one call. Equal vectors are one point with its smallest ids,
 which are all that can appear in a result; equal scores of different points go by their smallest ids.
 """
@@ -251,10 +251,16 @@ def nearest(
     asked = rows.where("asks").select("id", "v").join(points.select("v", "key").hint("merge"), "v")
     asked = stage(asked.select(F.col("id").alias("query_id"), F.col("key").alias("query")), "ann_asked")
     queries = points.join(asked.select(F.col("query").alias("key")).distinct().hint("merge"), "key", "left_semi")
-    # Queries are dealt by their own cell; one row per cell tells how many blocks it has.
-    number = F.ceil(F.count("*") / F.lit(QUERY_ROWS)).cast("int")
-    homes = queries.groupBy(F.col("cell").alias("home")).agg(number.alias("shares"))
-    queries = queries.join(homes, F.col("cell") == F.col("home"))
+    # Queries are dealt by their own cell; cells come in the order of the tree, so those that are close
+    # share a block where they have few queries. One row per cell, at most MAX_CELLS.
+    homes, home, filled = [], 0, 0
+    for cell, asking in sorted(tuple(r) for r in queries.groupBy("cell").count().collect()):
+        if filled and filled + asking > QUERY_ROWS:
+            home, filled = home + 1, 0
+        homes.append((cell, home, -(-asking // QUERY_ROWS)))
+        filled += asking
+    homes = spark.createDataFrame(homes, "cell int, home int, shares int")
+    queries = queries.join(F.broadcast(homes), "cell")
     share = F.pmod(F.xxhash64("key"), F.col("shares")).cast("int")
     queries = queries.select(F.col("key").alias("query"), F.col("v").alias("q"), "home", share.alias("share"))
     queries = stage(queries, "ann_queries")
