@@ -65,6 +65,12 @@ def select_features(df: DataFrame, job: Job) -> DataFrame:
     return df.select(*KEY, job.label, *job.features)
 
 
+def complete_rows(df: DataFrame, job: Job) -> DataFrame:
+    """The rows that can be learned from: with a label and every feature. A share of a limit of zero,
+    for one, is NULL."""
+    return df.na.drop(subset=[job.label, *job.features])
+
+
 def assemble(df: DataFrame, columns: list[str]) -> DataFrame:
     """Add the feature vector; a NULL feature is an error."""
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="error").transform(df)

@@ -294,7 +294,7 @@ def _training() -> dict[str, Callable[[DomainTables], DataFrame]]:
 
     def prepared(t, name):
         job, frame = selected(t, name)
-        frame = training.assemble(stage(frame, name), job.features)
+        frame = training.assemble(training.complete_rows(stage(frame, name), job), job.features)
         return (job, *training.index_label(frame, job.label))
 
     def fitted(t, name):

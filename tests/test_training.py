@@ -184,6 +184,13 @@ def test_report_and_matrix(make, rows_of):
     assert rows_of(training.confusion_matrix(df, ["a", "b", "c"])) == [("a", 3, 1, 0), ("b", 0, 2, 0), ("c", 1, 0, 0)]
 
 
+def test_incomplete_rows_are_not_learned_from(make):
+    job = training.Job("kind", ["x", "y"], ["a"], 1)
+    rows = [(1.0, 2.0, "a", None), (None, 2.0, "a", 1), (1.0, float("nan"), "a", 1), (1.0, 2.0, None, 1)]
+    df = make(rows, "x double, y double, kind string, other int")
+    assert training.complete_rows(df, job).count() == 1
+
+
 def test_missing_feature_is_an_error(make):
     df = make([(1.0, None)], "x double, y double")
     with pytest.raises(Exception):
