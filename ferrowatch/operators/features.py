@@ -21,6 +21,7 @@ def days_since_overhaul(df: DataFrame) -> DataFrame:
 
 def pct_of_max(df: DataFrame) -> DataFrame:
     """Temperature, pressure and speed as percentages of the machine's rated limits."""
+    # The names of the shares, of the readings and of their limits.
     return df.withColumns(
         {
             result: safe_div(F.col(reading), F.col(limit)) * 100

@@ -21,6 +21,7 @@ def extend(schema, *fields):
     return T.StructType(list(schema.fields) + list(_struct(*fields).fields))
 
 
+# The columns of the tables, in order, and their types.
 READING_COLUMNS = [
     "temperature",
     "vibration",
@@ -89,6 +90,7 @@ INTEGRATED = T.StructType(
     ]
 )
 
+# The columns that get label codes, and below those that hold statuses.
 ENCODED_CATEGORIES = [
     "criticality",
     "maintenance_type",
