@@ -2,6 +2,8 @@
 
 A word's hash is a polynomial in its bytes modulo 2^64, taken as the difference of two prefix sums
 and then mixed, so that a block of text costs a few passes over its bytes whatever its words are.
+Sets of shingles are sets of these 64-bit hashes; words that collide modulo 2^64 can be made on purpose,
+from a thousand bytes or more, and are not expected otherwise.
 """
 
 from collections.abc import Iterator
