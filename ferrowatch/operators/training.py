@@ -174,8 +174,10 @@ def predict_by_nodes(
     Each row starts at the root of every tree and goes down one level a join, until it is at a leaf;
     the leaves' values are added up by row and class. Gives what predict gives, for any engine that
     has joins; predict is the faster way. key must tell rows apart. A model without trees finds all
-    labels equally likely.
+    labels equally likely. The node table, whose size is the model's, is broadcast: joined by a shuffle,
+    all rows would meet in the few partitions of the roots.
     """
+    nodes = F.broadcast(nodes)
     numbers = F.array(*[F.col(name).cast("double") for name in features])
     size = nodes.agg(F.max("depth"), F.max("round")).first()
     depth, rounds = (0, 0) if size[0] is None else (size[0], size[1] + 1)

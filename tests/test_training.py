@@ -212,3 +212,26 @@ def test_registered_models_are_trained_whole_and_once(spark, monkeypatch):
         assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
     assert catalogue.queries()["train_item"](spark, "/root/testdata/sf0.001").count() > 0
     assert [a[2:] for a in asked] == [(100, 6, 0.3)] * 2
+
+
+def test_half_of_the_nodes_are_summed(samples, monkeypatch):
+    frame, labels = training.index_label(training.assemble(samples, ["x", "y"]), "kind")
+    asked, sums = [], boosting.Boosting._sums
+
+    def spied(self, grown, nodes):
+        asked.append([len(own) for own in nodes])
+        return sums(self, grown, nodes)
+
+    monkeypatch.setattr(boosting.Boosting, "_sums", spied)
+    training.train_classifier(frame, labels, ["x", "y"], rounds=1, depth=3)
+    assert len(asked) == 3
+    assert all(max(own) <= 2 ** max(level - 1, 0) for level, own in enumerate(asked))
+
+
+def test_walk_does_not_shuffle_rows_by_node(fitted, spark):
+    model, _, test = fitted
+    walked = training.predict_by_nodes(
+        model.node_table(spark), test, ["equipment_id", "timestamp"], model.features, model.labels
+    )
+    plan = walked._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
