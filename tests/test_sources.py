@@ -36,3 +36,9 @@ def test_stage_schemas_have_the_expected_widths():
     widths = [len(s) for s in (schemas.INTEGRATED, schemas.FEATURED, schemas.ALERTED, schemas.SCORED, schemas.ITEMISED)]
     assert widths == [40, 54, 63, 74, 75]
     assert [len(f) for f in (schemas.ALERT_FEATURES, schemas.NEED_FEATURES, schemas.ITEM_FEATURES)] == [28, 19, 20]
+
+
+def test_csv_is_written_compressed(make, tmp_path):
+    path = tmp_path / "t"
+    tables.write_table(make([(1, "a")], "k int, t string"), str(path))
+    assert {file.name[-7:] for file in path.glob("part-*")} == {".csv.gz"}
