@@ -1,3 +1,4 @@
+import dataclasses
 import random
 from datetime import datetime, timedelta
 
@@ -102,6 +103,40 @@ def test_best_split_equals_brute_force():
         assert (found and found[:2]) == best[1]
 
 
+def test_two_classes_sum_one_tree_a_round(samples, monkeypatch):
+    two = samples.withColumn("kind", F.when(F.col("x") < F.col("y"), "a").otherwise("b"))
+    frame, labels = training.index_label(training.assemble(two, ["x", "y"]), "kind")
+    shapes, summed = [], boosting.Boosting._sums
+
+    def sums(self, grown, nodes):
+        found = summed(self, grown, nodes)
+        shapes.append(found.shape)
+        return found
+
+    monkeypatch.setattr(boosting.Boosting, "_sums", sums)
+    nodes = training.train_classifier(frame, labels, ["x", "y"], rounds=2, depth=3).nodes
+    assert shapes and all(shape[0] == 1 for shape in shapes)
+    first, second = ([n for n in nodes if n.klass == k] for k in (0, 1))
+    assert [(*n[:1], *n[2:8]) for n in map(dataclasses.astuple, first)] == [
+        (*n[:1], *n[2:8]) for n in map(dataclasses.astuple, second)
+    ]
+    assert [n.value for n in first] == [-n.value for n in second] and any(n.value for n in first)
+
+
+def test_nodes_of_rows_equal_a_walk():
+    random = np.random.default_rng(4)
+    bins = random.integers(0, boosting.BINS, (3, 200)).astype(np.uint8)
+    tree = boosting.Tree()
+    assert not tree.nodes_of(bins).any()
+    for node in (0, 2, 3, 6):
+        tree.grow(node, int(random.integers(3)), int(random.integers(10, 50)))
+    for row, found in enumerate(tree.nodes_of(bins)):
+        node = 0
+        while tree.feature[node] >= 0:
+            node = tree.left[node] + int(bins[tree.feature[node], row] > tree.bin[node])
+        assert found == node
+
+
 def test_first_round_is_a_newton_step(samples):
     frame, labels = training.index_label(training.assemble(samples, ["x", "y"]), "kind")
     nodes = training.train_classifier(frame, labels, ["x", "y"], rounds=1, depth=1, step=0.5).nodes
