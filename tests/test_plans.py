@@ -88,6 +88,23 @@ def test_scores_and_items_neither_encode_nor_carry_all_columns(spark, name, monk
     assert max(staged) < 32 and "_encoded" not in plan
 
 
+@pytest.mark.parametrize(
+    "name, written", [("label_encoded_featured", {"cleaned"}), ("alert_features", {"cleaned"}), ("item_features", set())]
+)
+def test_one_pass_over_features_or_items_writes_no_second_table(spark, name, written, monkeypatch):
+    staged = []
+    for module in (chain, catalogue):
+        monkeypatch.setattr(module, "stage", lambda df, label: staged.append(label) or stage(df, label))
+    catalogue.queries()[name](spark, DIRECTORY)
+    assert set(staged) - {"scoring_cleaned", "scoring_readings"} == written
+
+
+def test_codes_and_limits_of_cleaned_readings_are_those_of_engineered_ones(cleaned, rows_of):
+    engineered = features.feature_engineering(cleaned)
+    assert rows_of(encoding.label_mapping(engineered)) == rows_of(encoding.label_mapping(cleaned))
+    assert rows_of(alerts.alert_limits(engineered)) == rows_of(alerts.alert_limits(cleaned))
+
+
 def test_labels_are_ranked_without_a_window_over_a_column(cleaned, without_broadcast):
     plan = plan_of(encoding.label_mapping(cleaned))
     windows = re.findall(r"Window \[.*?\], \[(\w*)#?\d*", plan)
