@@ -1,5 +1,7 @@
 """The part to service, from statistical and historical thresholds per signal."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,34 +89,43 @@ def item_thresholds(df: DataFrame, filters_history: str = "Seals") -> DataFrame:
 
 
 def item_condition(item: str, thresholds: str = "_thresholds") -> Column:
-    """A required row that names the part and has a signal beyond its threshold."""
+    """A row that names the part and has a signal beyond its threshold, required or not."""
     beyond = []
     for signal, side in SIGNALS[item].items():
         limit = _lower(F.col(f"{thresholds}.{item}_{signal}.stat"), F.col(f"{thresholds}.{item}_{signal}.hist"))
         beyond.append(F.col(signal) > limit if side == "high" else F.col(signal) < limit)
-    return _required() & (F.col("parts_replaced") == item) & any_of(beyond)
+    return (F.col("parts_replaced") == item) & any_of(beyond)
 
 
-def assign_items(
+def point_at_parts(
     df: DataFrame, filters_history: str = "Seals", thresholds_from: DataFrame | None = None
 ) -> DataFrame:
-    """Add maintenance_item: the first part whose condition holds, Coupling for the required rest.
+    """Add pointed_part: the first part whose condition holds, whether maintenance is required or not.
 
-    Rows without need for maintenance get NULL. Thresholds come from the whole table, or from
-    thresholds_from, as a one-row scalar subquery of the same plan.
+    Thresholds come from the whole table, or from thresholds_from, as a one-row scalar subquery of the
+    same plan.
     """
     history = {**HISTORY_PARTS, "Filters": filters_history}
     row = _threshold_row(df if thresholds_from is None else thresholds_from, history)
-    item = None
-    for part in SIGNALS:
-        condition = item_condition(part)
-        item = F.when(condition, part) if item is None else item.when(condition, part)
-    item = item.when(_required(), REMAINING_ITEM)
+    part = reduce(lambda found, name: found.when(item_condition(name), name), SIGNALS, F)
     return df.withColumn("_thresholds", row.select(F.struct("*")).scalar()).select(
-        *df.columns, item.alias("maintenance_item")
+        *df.columns, part.alias("pointed_part")
     )
 
 
+def assign_items(
+    df: DataFrame, filters_history: str = "Seals", thresholds_from: DataFrame | None = None
+) -> DataFrame:
+    """Add maintenance_item: the first part whose condition holds, Coupling for the required rest.
+
+    Rows without need for maintenance get NULL. Parts are pointed at here unless the rows have pointed_part.
+    """
+    if "pointed_part" not in df.columns:
+        df = point_at_parts(df, filters_history, thresholds_from)
+    item = F.when(_required(), F.coalesce(F.col("pointed_part"), F.lit(REMAINING_ITEM)))
+    return df.withColumn("maintenance_item", item).drop("pointed_part")
+
+
 def required_rows(df: DataFrame) -> DataFrame:
     return df.filter(_required())
 

@@ -185,3 +185,18 @@ def test_single_row_has_no_deviation(make):
     df = make([(0, "Motor", "x", "Repair", 1, *[2.0] * 8)], ITEM_COLUMNS)
     row = items.item_thresholds(df).filter("item = 'Motor' and signal = 'vibration'").first()
     assert (row["stat"], row["threshold"]) == (None, 2.0)
+
+
+def test_items_of_parts_pointed_at_before_the_need_is_known(make, rows_of):
+    signals = list(dict.fromkeys(name for own in items.SIGNALS.values() for name in own))
+    rows = [
+        (n, parts, *[float(n * k % 7) if n % 5 else None for k in range(1, len(signals) + 1)])
+        for n, parts in enumerate([*items.SIGNALS, "None", None] * 6)
+    ]
+    readings = make(rows, f"n int, parts_replaced string, {', '.join(f'{name} double' for name in signals)}")
+    needs = F.expr("CASE n % 3 WHEN 0 THEN 'Maintenance required' WHEN 1 THEN 'No maintenance required' END")
+    late = items.assign_items(readings.withColumn("maintenance_needed", needs))
+    early = items.assign_items(items.point_at_parts(readings).withColumn("maintenance_needed", needs))
+    assert early.columns == late.columns and rows_of(early) == rows_of(late)
+    found = {row["maintenance_item"] for row in late.collect()}
+    assert {None, items.REMAINING_ITEM} < found

@@ -131,3 +131,28 @@ def test_range_sort_can_split_copies(cleaned):
     plan = plan_of(integrate.order_for_output(cleaned))
     keys = r"equipment_id#\d+ ASC NULLS FIRST, timestamp#\d+ ASC NULLS FIRST, _position"
     assert re.search(rf"rangepartitioning\({keys}", plan)
+
+
+def test_cleaning_moves_records_to_machines_and_readings_to_records_only(tables, without_broadcast):
+    plan = plan_of(chain.cleaned(tables))
+    # Means of hours to records, latest logs to specifications, both to records, and records to readings.
+    assert plan.count("SortMergeJoin") == 4
+
+
+@pytest.mark.parametrize(
+    "name, most",
+    [
+        ("scores", 11),
+        ("need_flags", 11),
+        ("need_split_sizes", 11),
+        ("unassigned_items", 12),
+        ("items", 13),
+        ("filters_inspection", 17),
+    ],
+)
+def test_running_totals_move_scores_instead_of_what_they_are_made_from(spark, name, most, monkeypatch):
+    staged = {}
+    monkeypatch.setattr(chain, "stage", lambda df, label: staged.update({label: df.columns}) or stage(df, label))
+    catalogue.queries()[name](spark, DIRECTORY)
+    readings = staged["scoring_readings"]
+    assert len(readings) <= most and "alert_score" in readings and "max_temperature" not in readings
