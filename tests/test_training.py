@@ -263,6 +263,33 @@ def test_half_of_the_nodes_are_summed(samples, monkeypatch):
     assert all(max(own) <= 2 ** max(level - 1, 0) for level, own in enumerate(asked))
 
 
+def test_opposite_margins_give_the_same_gradients():
+    random = np.random.default_rng(6)
+    own = np.concatenate([random.normal(size=5000) * 4, [0.0, -0.0, 800.0, -800.0, 1e-300]])
+    label = random.integers(0, 2, len(own)).astype(np.int32)
+    margins = np.column_stack([own, -own])
+    for one, both in zip(boosting.opposite_gradients(margins, label), boosting.gradients(margins, label)):
+        assert one.shape == (len(own), 1) and (one[:, 0] == both[:, 0]).all()
+
+
+def test_sums_little_above_a_buffer_leave_a_task_below_it(samples, monkeypatch):
+    random = np.random.default_rng(5)
+    shape = (1, 19, 2, 4, boosting.BINS)
+    for bits in (10, 20, 52):
+        sums = random.integers(-(1 << bits), 1 << bits, shape) / boosting.GRAIN
+        packed = boosting.squeezed(sums, boosting.SOCKET_BUFFER)
+        assert (boosting.unsqueezed(packed, shape) == sums).all()
+        assert bits > 20 or len(packed) < boosting.SOCKET_BUFFER < sums.nbytes
+    # Whether sums are compressed or not, trees are the same.
+    frame, labels = training.index_label(training.assemble(samples, ["x", "y"]), "kind")
+    plain = training.train_classifier(frame, labels, ["x", "y"], rounds=2, depth=3).nodes
+    seen, whole = [], boosting.unsqueezed
+    monkeypatch.setattr(boosting, "SOCKET_BUFFER", 4000)
+    monkeypatch.setattr(boosting, "unsqueezed", lambda sums, shape: seen.append(type(sums)) or whole(sums, shape))
+    assert training.train_classifier(frame, labels, ["x", "y"], rounds=2, depth=3).nodes == plain
+    assert bytes in seen
+
+
 def test_walk_does_not_shuffle_rows_by_node(fitted, spark):
     model, _, test = fitted
     walked = training.predict_by_nodes(
