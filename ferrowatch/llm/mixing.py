@@ -58,7 +58,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], cap: int) -> Data
         if left.words is None or left.weights is None or left.n_full == known:
             break
         known = left.n_full
-        share = F.lit(left.words) * F.col("weight") / F.lit(left.weights)
+        # As a double: the literal is an int up to 2**31 - 1, and words times a weight may be beyond that.
+        share = F.lit(float(left.words)) * F.col("weight") / F.lit(left.weights)
         target, full = F.when(full, limit.cast("double")).otherwise(share), full | (share > limit)
     if known < 0:
         target = limit.cast("double")

@@ -152,6 +152,16 @@ def test_mix_meets_its_targets(spark, small, docs_of):
     assert mixing.Mix(odd.limit(0)).documents().count() == 0
 
 
+def test_shares_of_more_words_than_an_int_times_weight(make):
+    # Fewer words than 2**31, so that they are an int as a literal, but more than that times a weight.
+    sizes = make([("sa", 1000, 300_000), ("sb", 1000, 300_000), ("sc", 1000, 200_000)], "skey string, size long, n long")
+    targets = mixing.source_targets(sizes, (1, 2, 3), 3)
+    found = {r.skey: r.target for r in targets.collect()}
+    assert found == pytest.approx({"sa": 8e8 / 6, "sb": 8e8 / 3, "sc": 4e8})
+    tilts = mixing.solve_tilts(sizes, targets, 3)
+    assert {r.skey: r.source_size for r in tilts.collect()} == {"sa": 3 * 10**8, "sb": 3 * 10**8, "sc": 2 * 10**8}
+
+
 def brute(ids, vectors, query, k):
     scores = vectors @ vectors[query]
     order = [i for i in np.lexsort((ids, -scores)) if ids[i] != ids[query]]
