@@ -2,15 +2,18 @@
 
 import inspect
 import re
+import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from ferrowatch.operators import alerts, encoding, features, integrate, items, profile, sensor_quality
 from ferrowatch.plans import catalogue, chain
 from ferrowatch.sources import staging
 from ferrowatch.sources.projections import DomainTables
 from ferrowatch.sources.staging import stage
+from ferrowatch.sources.tables import read_table, write_table
 
 DIRECTORY = "/root/testdata/sf0.001"
 
@@ -156,3 +159,39 @@ def test_running_totals_move_scores_instead_of_what_they_are_made_from(spark, na
     catalogue.queries()[name](spark, DIRECTORY)
     readings = staged["scoring_readings"]
     assert len(readings) <= most and "alert_score" in readings and "max_temperature" not in readings
+
+
+def test_a_written_table_leaves_no_shuffle_on_disk(spark, tmp_path):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", manager.getAllFiles().mkString(" ")))
+
+    grouped = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    setting = spark.conf.get(staging.SHUFFLE_CLEANUP)
+    before = shuffles()
+    staged = stage(grouped, "grouped")
+    write_table(grouped, str(tmp_path / "grouped"))
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before and spark.conf.get(staging.SHUFFLE_CLEANUP) == setting
+    assert staged.count() == read_table(spark, str(tmp_path / "grouped")).count() == 7
+    # Frames that are no writes keep theirs: they may be run again.
+    assert grouped.count() == 7 and shuffles() - before
+
+
+def test_records_move_to_machines_once_on_the_plain_id(tables, without_broadcast):
+    plan = plan_of(chain.cleaned(tables))
+    assert "Exchange hashpartitioning(coalesce" not in plan and "isnull" not in plan
+
+
+def test_totals_of_wide_rows_and_ordered_steps_are_written(spark, monkeypatch):
+    staged = []
+    for module in (features, integrate, chain):
+        monkeypatch.setattr(module, "stage", lambda df, label: staged.append(label) or stage(df, label))
+    catalogue.queries()["alert_features"](spark, DIRECTORY)
+    assert "running_totals" in staged
+    catalogue.queries()["integrated_ordered"](spark, DIRECTORY)
+    assert {"corrected_hours", "machine_days"} <= set(staged)
