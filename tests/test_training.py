@@ -1,5 +1,6 @@
 import dataclasses
 import random
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -297,3 +298,41 @@ def test_walk_does_not_shuffle_rows_by_node(fitted, spark):
     )
     plan = walked._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_walk_finds_nodes_by_one_number(fitted, spark, make):
+    model, _, test = fitted
+    walked = training.predict_by_nodes(
+        model.node_table(spark), test, ["equipment_id", "timestamp"], model.features, model.labels
+    )
+    plan = walked._jdf.queryExecution().executedPlan().toString()
+    joins = re.findall(r"BroadcastHashJoin \[([^\]]*)\]", plan)
+    assert joins and all("," not in keys for keys in joins)
+    # A tree is missing, one is of no known class, a value is missing, and a node of a tree is out of order.
+    nodes = [
+        boosting.Node(0, 0, 0, 0, 1, 2.0, 3, 1, 0.0),
+        boosting.Node(0, 0, 1, 1, -1, 0.0, -1, -1, 1.0),
+        boosting.Node(0, 0, 3, 1, -1, 0.0, -1, -1, -1.0),
+        boosting.Node(0, 2, 0, 0, -1, 0.0, -1, -1, 50.0),
+        boosting.Node(1, 1, 0, 0, -1, 0.0, -1, -1, 0.5),
+    ]
+    rows = make([(1, 0.0, 2.0), (2, 0.0, 2.5), (3, 0.0, None)], "row int, p double, q double")
+    table = training.BoostedClassifier(["a", "b"], ["p", "q"], nodes).node_table(spark)
+    found = {r["row"]: r for r in training.predict_by_nodes(table, rows, ["row"], ["p", "q"], ["a", "b"]).collect()}
+    for row, margin in ((1, -1.0), (2, 1.0), (3, 1.0)):
+        share = np.exp(margin) / (np.exp(margin) + np.exp(0.5))
+        assert found[row]["probabilities"] == pytest.approx([share, 1 - share])
+        assert found[row]["predicted_label"] == ("a" if margin > 0.5 else "b")
+
+
+def test_compared_predictions_are_computed_once(spark, monkeypatch):
+    nodes = [boosting.Node(0, 0, 0, 0, 0, 60.0, 1, 2, 0.0)]
+    nodes += [boosting.Node(0, 0, n, 1, -1, 0.0, -1, -1, v) for n, v in ((1, 1.0), (2, -1.0))]
+    model = lambda train, labels, features: training.BoostedClassifier(labels, features, nodes)
+    monkeypatch.setattr(training, "train_classifier", model)
+    monkeypatch.setattr(catalogue, "_fitted", {})
+    for name in ("walked_need", "saved_need"):
+        found = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+        assert "Python" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "ArrowEval" not in plan
+        (row,) = found.collect()
+        assert row["rows"] > 0 and row["differences"] == 0
