@@ -336,3 +336,15 @@ def test_compared_predictions_are_computed_once(spark, monkeypatch):
         assert "Python" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "ArrowEval" not in plan
         (row,) = found.collect()
         assert row["rows"] > 0 and row["differences"] == 0
+
+
+def test_both_derivatives_are_added_at_once_and_exactly():
+    random = np.random.default_rng(8)
+    for classes in (2, 3):
+        margins = random.normal(size=(300, classes))
+        margins = np.column_stack([margins[:, 0], -margins[:, 0]]) if classes == 2 else margins
+        label = random.integers(0, classes, 300).astype(np.int32)
+        both = boosting.both_derivatives(margins, label)
+        first, second = boosting.gradients(margins, label)
+        assert both.shape == (1 if classes == 2 else 3, 300)
+        assert (both.real == first.T[: len(both)]).all() and (both.imag == second.T[: len(both)]).all()
